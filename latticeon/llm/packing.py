@@ -233,8 +233,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rows_per_salt: int
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
     numbered = salted.withColumn("own", F.row_number().over(own) - 1).join(starts, ["length", "salt"])
     table = slots(plan(histogram, capacity))
-    runs = table.groupby("length", sort=True).agg(list).reset_index()
-    runs = spark.createDataFrame(pa.table({"length": pa.array(runs["length"], pa.int64()), **{c: pa.array(runs[c].tolist(), pa.list_(pa.int64())) for c in ("low", "high", "seq", "offset")}}).to_pandas(), "length long, low array<long>, high array<long>, seq array<long>, offset array<long>")
+    lists = [(n, *[t[c].tolist() for c in ("low", "high", "seq", "offset")]) for n, t in ((int(n), t) for n, t in table.groupby("length", sort=True))]
+    runs = spark.createDataFrame(lists, "length long, low array<long>, high array<long>, seq array<long>, offset array<long>")
     n = F.col("base") + F.col("own")
     runs = runs.select("length", F.explode(F.arrays_zip("low", "high", "seq", "offset")).alias("run")).select("length", "run.*")
     # Runs of a length tile its numbers: exactly one matches. The plan's size is bounded by the capacity, not by the data.

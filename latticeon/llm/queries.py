@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, quality, secrets, tokencount, toxicity
+from pyspark.sql import functions as F
+
+from . import hamming, licenses, neardup, packing, pii, quality, secrets, sentencepieces, tokencount, toxicity
 from .common import table
 from .sql import SQL  # noqa: F401
 
@@ -31,4 +33,22 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokencount.tokenizer_path(packing.MODEL))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_license_scan, op5_toxicity, op6_quality_rules, op9_token_counts, op10_best_fit_packing)}
+def op2_sentencepiece_nbest(spark, sf_dir):
+    return sentencepieces.segment(table(spark, sf_dir, "documents"), tokencount.tokenizer_path(sentencepieces.MODEL))
+
+
+def op3_hamming_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return hamming.top_k(rows, rows.filter(F.col("vec_id") % 20 == 0), k=10)
+
+
+def op7_personal_data(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_secret_scan, op2_sentencepiece_nbest, op3_hamming_topk, op4_license_scan, op5_toxicity, op6_quality_rules, op7_personal_data, op8_near_duplicates, op9_token_counts, op10_best_fit_packing)
+QUERIES = {f.__name__: f for f in _ALL}
