@@ -103,11 +103,15 @@ def within(g: Column, ring) -> Column:
     return F.coalesce(let(vertices(g), lambda v: (F.size(v) > 0) & F.forall(v, lambda p: in_literal_ring(p[0], p[1], ring))), F.lit(False))
 
 
+def _holds(p):
+    return lambda r: _in_ring(float(p[0]), float(p[1]), r)
+
+
 def contains_polygon(g: Column, ring) -> Column:
     """Is each vertex of the ring in some outer ring of the geometry?"""
     if not ring:
         return F.lit(False)
-    inside = lambda ps: reduce(lambda a, b: a & b, [F.exists(ps, lambda r, p=p: _in_ring(p[0], p[1], r)) for p in ring])
+    inside = lambda ps: reduce(lambda a, b: a & b, [F.exists(ps, _holds(p)) for p in ring])
     return F.coalesce(is_area(g) & let(parts(g), inside), F.lit(False))
 
 
@@ -136,7 +140,7 @@ def intersects(g: Column, ring) -> Column:
         edge = lambda i: reduce(lambda a, b: a | b, [_segments_meet(F.get(v, i), F.get(v, i + 1), lit(p), lit(q)) for p, q in zip(closed, closed[1:])])
         return F.exists(v, lambda p: in_literal_ring(p[0], p[1], ring)) | F.when(F.size(v) >= 2, F.exists(steps, edge)).otherwise(False)
 
-    corner = lambda ps: reduce(lambda a, b: a | b, [F.exists(ps, lambda r, p=p: _in_ring(p[0], p[1], r)) for p in ring])
+    corner = lambda ps: reduce(lambda a, b: a | b, [F.exists(ps, _holds(p)) for p in ring])
     return F.coalesce(let(vertices(g), meets), F.lit(False)) | F.coalesce(is_area(g) & let(parts(g), corner), F.lit(False))
 
 

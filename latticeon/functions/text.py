@@ -21,6 +21,15 @@ def tokens(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda x: F.octet_length(x) >= 3)
 
 
+def _is(q: str):
+    return lambda x: x == q
+
+
+def _bucket_if(words: Column):
+    """Buckets of eight places for the words among `words`."""
+    return lambda w, j: F.when(F.array_contains(words, w), F.floor(j / 8))
+
+
 def query_terms(q: str) -> list[str]:
     return list(dict.fromkeys(w for w in _WORD.findall(q.lower()) if len(w.encode()) >= 3))
 
@@ -36,7 +45,7 @@ def with_bm25(df: DataFrame, field: str, query: str, name: str) -> DataFrame:
     n = [f"__{name}_{i}" for i in range(len(terms))]
     toks = tokens(F.col(field))
     # One pass over the tokens: [length, tf of each term].
-    counts = F.transform(F.array(toks), lambda t: F.array(F.size(t), *[F.size(F.filter(t, lambda x, q=q: x == q)) for q in terms]))[0]
+    counts = F.transform(F.array(toks), lambda t: F.array(F.size(t), *[F.size(F.filter(t, _is(q))) for q in terms]))[0]
     counted = df.withColumn(f"__{name}", F.when(F.col(field).isNotNull(), counts))
     c = F.col(f"__{name}")
     stats = df.filter(F.col(field).isNotNull()).select(counts.alias("c")).agg(F.count("*").alias(f"__{name}_n"), F.avg(F.get("c", F.lit(0))).alias(f"__{name}_avg"), *[F.sum((F.get("c", F.lit(i + 1)) > 0).cast("long")).alias(x) for i, x in enumerate(n)])
@@ -80,8 +89,8 @@ def with_search(df: DataFrame, fields: list[str], query: str, name: str, key: st
     for i in range(len(terms)):
         x = F.col(f"__x{i}")
         words = F.transform(x, lambda s: s["w"])
-        both = both.withColumn(f"__e{i}", F.array_min(F.transform(F.filter(x, lambda s: F.array_contains(F.col("__t_flat") if "__t_flat" in both.columns else flat, s["w"])), lambda s: s["e"])))
-        both = both.withColumn(f"__b{i}", F.filter(F.transform(flat, lambda w, j, words=words: F.when(F.array_contains(words, w), F.floor(j / 8))), lambda z: z.isNotNull()))
+        both = both.withColumn(f"__e{i}", F.array_min(F.transform(F.filter(x, lambda s: F.array_contains(flat, s["w"])), lambda s: s["e"])))
+        both = both.withColumn(f"__b{i}", F.array_compact(F.transform(flat, _bucket_if(words))))
     hit = reduce(lambda a, b: a & b, [F.col(f"__e{i}").isNotNull() for i in range(len(terms))])
     m = float(len(terms))
     typo = F.lit(1.0) - reduce(lambda a, b: a + b, [F.col(f"__e{i}") for i in range(len(terms))]) / (2 * m)

@@ -135,8 +135,8 @@ simple("order_json_path", "events", "SELECT _key FROM events ORDER BY props->>'k
 simple("order_score_expr", "part", "SELECT _key, p_retailprice * 0.5 + p_size * 10 AS score FROM part ORDER BY score LIMIT 15", "SELECT cast(p_partkey AS VARCHAR) AS _key, round(p_retailprice * 0.5 + p_size * 10, 6) AS score FROM part ORDER BY p_retailprice * 0.5 + p_size * 10 DESC, 'part/' || p_partkey LIMIT 15", {"score": 6})
 
 _Q = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
-_DOT = "list_sum(list_transform(list_zip(embedding, q), x -> x[1]::DOUBLE * x[2]::DOUBLE))"
-_NORM = "sqrt(list_sum(list_transform({0}, x -> x::DOUBLE * x::DOUBLE)))"
+_DOT = "list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
+_NORM = "sqrt(list_sum(list_transform({0}, lambda x: x::DOUBLE * x::DOUBLE)))"
 _COS = f"1 - {_DOT} / ({_NORM.format('embedding')} * {_NORM.format('q')})"
 
 
@@ -144,7 +144,7 @@ def query_vector(spark, d):
     return [[float(x) for x in spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id = 0").first()["embedding"]]]
 
 
-for _n, _op, _d in (("cosine", "<=>", _COS), ("l2", "<->", "list_sum(list_transform(list_zip(embedding, q), x -> (x[1]::DOUBLE - x[2]) ** 2))"), ("dot", "<#>", f"-({_DOT})"), ("l1", "<+>", "list_sum(list_transform(list_zip(embedding, q), x -> abs(x[1]::DOUBLE - x[2])))")):
+for _n, _op, _d in (("cosine", "<=>", _COS), ("l2", "<->", "list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::DOUBLE - x[2]) ** 2))"), ("dot", "<#>", f"-({_DOT})"), ("l1", "<+>", "list_sum(list_transform(list_zip(embedding, q), lambda x: abs(x[1]::DOUBLE - x[2])))")):
     simple(f"order_vector_{_n}", "embeddings", f"SELECT _key FROM embeddings ORDER BY embedding {_op} $1 ASC LIMIT 10", f"SELECT cast(vec_id AS VARCHAR) AS _key FROM embeddings, {_Q} ORDER BY round({_d}, 9), 'embeddings/' || vec_id LIMIT 10", params=query_vector)
 
 # ── aggregation ──
@@ -284,10 +284,10 @@ _TERMS = {"a": "ered", "b": "ntion"}
 
 def _bm25_sql(field: str, query: str, src: str = "documents", where: str = "true") -> str:
     terms = text.query_terms(query)
-    tf = ", ".join(f"len(list_filter(t, x -> x = '{q}')) AS tf{i}" for i, q in enumerate(terms))
+    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{q}')) AS tf{i}" for i, q in enumerate(terms))
     df = ", ".join(f"sum((tf{i} > 0)::INT) AS df{i}" for i in range(len(terms)))
     part = " + ".join(f"CASE WHEN tf{i} > 0 THEN greatest(0, ln((n - df{i} + 0.5) / (df{i} + 0.5))) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END" for i in range(len(terms)))
-    return f"(WITH tok AS (SELECT *, list_filter(regexp_extract_all(lower({field}), '([\\p{{L}}\\p{{N}}]+)', 1), x -> strlen(x) >= 3) AS t FROM {src}), c AS (SELECT *, len(t) AS dl, {tf} FROM tok), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c) SELECT *, {part} AS bm25 FROM c, s WHERE {where})"
+    return f"(WITH tok AS (SELECT *, list_filter(regexp_extract_all(lower({field}), '([\\p{{L}}\\p{{N}}]+)', 1), lambda x: strlen(x) >= 3) AS t FROM {src}), c AS (SELECT *, len(t) AS dl, {tf} FROM tok), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c) SELECT *, {part} AS bm25 FROM c, s WHERE {where})"
 
 
 _B = "thing reat"
@@ -302,7 +302,7 @@ def _search_db(spark, d):
     return g
 
 
-_TOK = "list_filter(regexp_extract_all(lower({0}), '([\\p{{L}}\\p{{N}}]+)', 1), x -> strlen(x) >= 3)"
+_TOK = "list_filter(regexp_extract_all(lower({0}), '([\\p{{L}}\\p{{N}}]+)', 1), lambda x: strlen(x) >= 3)"
 
 
 @add("search_and", f"SELECT cast(doc_id AS VARCHAR) AS _key FROM documents WHERE list_contains({_TOK.format('text')}, 'thing') AND list_contains({_TOK.format('source')}, 'src3')")
@@ -310,7 +310,7 @@ def search_and(spark, d):
     return _search_db(spark, d).query("SELECT _key FROM documents WHERE SEARCH('thing src3')")
 
 
-@add("search_typo", f"WITH t AS (SELECT doc_id, list_concat({_TOK.format('source')}, {_TOK.format('text')}) AS t FROM documents) SELECT cast(doc_id AS VARCHAR) AS _key FROM t WHERE len(list_filter(t, x -> levenshtein(x, 'licenzed') <= 1)) > 0 AND NOT EXISTS (SELECT 1 FROM t WHERE list_contains(t, 'licenzed'))")
+@add("search_typo", f"WITH t AS (SELECT doc_id, list_concat({_TOK.format('source')}, {_TOK.format('text')}) AS t FROM documents) SELECT cast(doc_id AS VARCHAR) AS _key FROM t WHERE len(list_filter(t, lambda x: levenshtein(x, 'licenzed') <= 1)) > 0 AND NOT EXISTS (SELECT 1 FROM t WHERE list_contains(t, 'licenzed'))")
 def search_typo(spark, d):
     return _search_db(spark, d).query("SELECT _key FROM documents WHERE SEARCH('licenzed')")
 
