@@ -39,12 +39,12 @@ class Threshold:
 
 
 RULES: tuple[Threshold, ...] = (
-    Threshold("mean_word_length", "100.0 * word_chars / n_words", 150, 1500),
-    Threshold("symbol_ratio", "100.0 * n_symbols / n_words", None, 30),
-    Threshold("symbol_density", "100.0 * n_symbols / word_chars", None, 10),
-    Threshold("stop_words", "CASE WHEN n_words < 40 THEN 100 ELSE 100.0 * n_stop / n_words END", 1, None),
-    Threshold("duplicate_lines", "100.0 * n_dup_lines / n_lines", None, 50),
-    Threshold("shouting_words", "100.0 * n_bang / n_words", None, 30),
+    Threshold("mean_word_length", "100.0 * word_chars / nullif(n_words, 0)", 150, 1500),
+    Threshold("symbol_ratio", "100.0 * n_symbols / nullif(n_words, 0)", None, 30),
+    Threshold("symbol_density", "100.0 * n_symbols / nullif(word_chars, 0)", None, 10),
+    Threshold("stop_words", "CASE WHEN n_words < 40 THEN 100 ELSE 100.0 * n_stop / nullif(n_words, 0) END", 1, None),
+    Threshold("duplicate_lines", "100.0 * n_dup_lines / nullif(n_lines, 0)", None, 50),
+    Threshold("shouting_words", "100.0 * n_bang / nullif(n_words, 0)", None, 30),
 )
 
 
