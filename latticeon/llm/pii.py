@@ -260,7 +260,12 @@ class Detector:
             order = np.argsort(-m[own], kind="stable")
             right = np.cumsum(t[own][order]) / np.arange(1, own.sum() + 1)
             ok = np.flatnonzero(right >= PRECISION)
-            self.least[kind] = max(0.0, float(m[own][order][ok[-1]])) if len(ok) else np.inf
+            if not len(ok):
+                self.least[kind] = np.inf
+                continue
+            # Half-way to the first example below; every likely candidate if there is none.
+            ranked = m[own][order]
+            self.least[kind] = max(0.0, float(ranked[ok[-1] : ok[-1] + 2].mean())) if ok[-1] + 1 < len(ranked) else 0.0
         self.held_out = (m, t, k)
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
