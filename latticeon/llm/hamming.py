@@ -111,10 +111,12 @@ def binary_code(vector: str, dims: int):
     return code(F.col(vector))
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """Blocks of about `size` rows with their number as column `name`, and how many there may be."""
     n = max(1, -(-rows.count() // size))
-    b = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(name))
-    return b.agg(F.collect_list(F.struct("id", "code")).alias(name + "_rows"))
+    # The place within a hash class keeps blocks apart even if one id fills the table.
+    salt = F.pmod(F.xxhash64("id", "code", F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    return rows.groupBy(salt.alias(name)).agg(F.collect_list(F.struct("id", "code")).alias(name + "_rows")), n
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, dims: int = 64, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -125,10 +127,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, dims: int = 64, row_id: s
         c = d.select(F.col(row_id).cast("long").alias("id"), binary_code(vector, dims).alias("code"))
         return materialise(c.filter("id IS NOT NULL AND code IS NOT NULL"))
 
-    data, asked = _blocks(coded(rows), BLOCK_ROWS, "d"), _blocks(coded(queries), QUERY_ROWS, "q")
-    asked = materialise(asked)
-    names = asked.select("q").agg(F.collect_list("q").alias("all"))  # a number per query block
-    pairs = data.join(F.broadcast(names)).withColumn("q", F.explode("all")).drop("all").join(asked, "q")
+    data, _ = _blocks(coded(rows), BLOCK_ROWS, "d")
+    asked, n = _blocks(coded(queries), QUERY_ROWS, "q")
+    # Each data block once per query block, matched by the block's number.
+    pairs = data.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(materialise(asked), "q")
 
     def search(batches):
         def arrays(cell):
