@@ -7,7 +7,8 @@ extends suffixes from the end; suffix score plus prefix score is exact, so
 hypotheses leave the agenda best first, and the best extension of one is followed at once. A character that is no piece is spelled by its byte pieces.
 
 The N best of a text combine its segments' alternatives: only the N - 1 occurrences
-whose second choice costs least can take part, and those are merged exactly.
+whose second choice costs least can take part, and those are searched and merged exactly. The
+forward pass of each segment keeps the second score, too, which tells these occurrences.
 
 Scores: those of a unigram model; of a merge-based model, which only ranks its pieces,
 ``-ln(2 + rank)``. Segments are remembered in a bounded cache. Null text: empty, no pieces,
@@ -20,8 +21,7 @@ import heapq
 import math
 import re
 import zlib
-from itertools import chain
-from operator import itemgetter
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ BLANK = "▁"
 
 
 class PieceModel:
-    def __init__(self, path: str, n: int = N_BEST, merge_ranks: bool = True, cache: int = 250_000):
+    def __init__(self, path: str, n: int = N_BEST, merge_ranks: bool = True, cache: int = 500_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -129,24 +129,56 @@ class PieceModel:
                 break
         return out
 
-    def _remember(self, s: str) -> tuple[float, float, list[int], str]:
-        """Best score, what the second choice costs, ids of the best."""
-        got = self.search(s, 2)
-        return got[0][0], got[0][0] - got[1][0] if len(got) > 1 else math.inf, got[0][1], s
+    def _remember(self, s: str) -> tuple[float, float, bytes]:
+        """Best score, what the second choice costs, ids of the best: a forward pass that keeps two scores a place."""
+        n, get = len(s), self.reach.get
+        best, second = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+        back: list = [None] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            base = best[i]
+            j, p = i + 1, get(s[i])
+            if not p:
+                raw = s[i].encode("utf-8", "surrogatepass")
+                p, follow = (self.byte_score * len(raw), tuple([self.byte[x] for x in raw])), p is not None
+            else:
+                follow = True
+            while p is not None:
+                if p:
+                    w = p[0]
+                    v, old = base + w, best[j]
+                    if v > old:
+                        u = second[i] + w
+                        best[j], second[j] = v, old if old > u else u
+                        back[j] = (i, p[1])
+                    elif v > second[j]:
+                        second[j] = v
+                j += 1
+                if not follow or j > n:
+                    break
+                p = get(s[i:j])
+        ids: list[int] = []
+        j = n
+        while j:
+            j, own = back[j]
+            ids += own[::-1]
+        ids.reverse()
+        return best[n], best[n] - second[n], array("I", ids).tobytes()
 
     def normalise(self, text: str) -> str:
         return (" " + text).replace(" ", BLANK) if text else ""
 
     def encode(self, text: str) -> tuple[list[float], bytes]:
         """Scores of the n best segmentations of a text, and the ids of the best."""
-        parts = [self.segments[s] for s in self.cut.findall(self.normalise(text))]
+        pieces = self.cut.findall(self.normalise(text))
+        parts = list(map(self.segments.__getitem__, pieces))
         total = math.fsum([p[0] for p in parts])
-        near = heapq.nsmallest(self.n - 1, parts, key=itemgetter(1)) if self.n > 1 else []
+        cost = [p[1] for p in parts]
         costs = [0.0]
-        for p in near:
-            if p[1] < math.inf:
-                costs = heapq.nsmallest(self.n, [c + p[0] - x for c in costs for x, _ in self.search(p[3], self.n)])
-        return [total - c for c in costs], np.fromiter(chain.from_iterable([p[2] for p in parts]), "<u4").tobytes()
+        for k in heapq.nsmallest(self.n - 1, range(len(parts)), key=cost.__getitem__) if self.n > 1 else []:
+            if cost[k] < math.inf:
+                costs = heapq.nsmallest(self.n, [c + parts[k][0] - x for c in costs for x, _ in self.search(pieces[k], self.n)])
+        return [total - c for c in costs], b"".join([p[2] for p in parts])
 
     def decode(self, ids) -> str:
         text = b"".join([self.texts[i] for i in ids]).decode("utf-8", "replace")
