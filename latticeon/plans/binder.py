@@ -281,6 +281,8 @@ class Compiler:
         raise QueryError(f"unknown function {n}")
 
     def aggregate(self, e: Call) -> Column:
+        if e.name == "COUNT" and "__walks" in self.scope.types:
+            return F.coalesce(F.sum("__walks"), F.lit(0))
         if e.name == "COUNT":
             if not e.args or isinstance(e.args[0], Star) or (isinstance(e.args[0], Name) and self.scope.variables and (len(e.args[0].parts) == 1 or not e.distinct)):
                 return F.count(F.lit(1))
@@ -339,9 +341,32 @@ class Binder:
         if s.shortest:
             rows, scope = self._shortest(s, q.where)
             return self._finish(q, rows, scope) if rows is not None else self._empty(q)
-        rows, scope = self._match(q)
+        counted = self._counted(q)
+        rows, scope = counted if counted else self._match(q)
         return self._finish(q, rows, scope)
 
+    def _counted(self, q: Select):
+        """Paths that are only counted per end node: one row an end with its number of walks, not a row a path."""
+        chain: Chain = q.sources[0]
+        last, first = chain.nodes[-1], chain.nodes[0]
+        calls = [x for x in walk((q.items, q.having, q.order)) if isinstance(x, Call) and x.name in AGGREGATES]
+        names = {x.parts[0] for x in walk((q.items, q.group)) if isinstance(x, Name)}
+        plain = all(not (n.label or n.slug or n.props or n.where) for n in chain.nodes[1:-1])
+        conds = conjuncts(q.where)
+        own = lambda n: [e for e in conds if self._own(e, n.var)]
+        if q.stages or not q.group or not chain.edges or not calls or last.var is None or not plain:
+            return None
+        if any(c.name != "COUNT" or not c.args or not isinstance(c.args[0], Star) for c in calls) or names != {last.var}:
+            return None
+        if len(own(first)) + len(own(last)) != len(conds) or first.var == last.var:
+            return None
+        starts = self._start(first, own(first)).select("_id")
+        legs = [(e.type, e.low, e.high, e.backward) for e in chain.edges]
+        walks = G.walk_counts(self.graph, starts, legs).select(F.col("_id").alias("__end"), F.col("walks").alias("__walks"))
+        ends = self._attach(self._start(last, own(last)), last.var, self._used(q))
+        rows = ends.join(walks, F.col("__id") == F.col("__end")).drop("__id", "__end")
+        return rows, Scope(rows, variables={last.var}, strict=True)
+
     # ── tables ──
     def _table(self, q: Select, s: Table) -> DataFrame:
         df = self.graph.all() if s.name.upper() == "ALL" else self.graph.collection(s.name)
