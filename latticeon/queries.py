@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .api import DB
-from .functions import geo, predicates, text, vector
-from .operators import changes as C
+from .functions import geo, text, vector
 from .operators import graph as G
-from .operators import sets
 from .sources import tables
 
 QUERIES: dict = {}
@@ -279,9 +277,6 @@ text_query("shortest_ring", ("customer",), ("near",), "SELECT r.length AS hops F
 text_query("shortest_predicates", ("customer",), ("near",), "SELECT r.length AS hops FROM MATCH SHORTEST (a:customer)-[r*]->(b:customer) WHERE a._key = '0' AND b._key = '14' AND ALL(n IN nodes(r) WHERE n.c_acctbal > -2000) AND NONE(n IN nodes(r) WHERE n.c_name = 'x')", "SELECT 2::BIGINT AS hops FROM customer WHERE c_custkey IN (0, 7, 14) HAVING count(*) = 3 AND bool_and(c_acctbal > -2000)")
 
 # ── text ──
-_TERMS = {"a": "ered", "b": "ntion"}
-
-
 def _bm25_sql(field: str, query: str, src: str = "documents", where: str = "true") -> str:
     terms = text.query_terms(query)
     tf = ", ".join(f"len(list_filter(t, lambda x: x = '{q}')) AS tf{i}" for i, q in enumerate(terms))
@@ -341,7 +336,12 @@ simple("st_contains_point", "supplier", "SELECT _key FROM supplier WHERE ST_Cont
 simple("st_contains_polygon", "supplier", "SELECT _key FROM supplier WHERE ST_Contains(geometry, POLYGON((144.6013 -37.6733, 144.6053 -37.6733, 144.6033 -37.6703)))", f"{_S} {_SX} - 0.01 < 144.6013 AND {_SX} + 0.01 > 144.6053 AND {_SY} - 0.01 < -37.6733 AND {_SY} + 0.01 > -37.6703")
 simple("st_intersects", "supplier", "SELECT _key FROM supplier WHERE ST_Intersects(geometry, POLYGON((144.6003 -37.6803, 144.7003 -37.6803, 144.7003 -37.6403, 144.6003 -37.6403)))", f"{_S} {_SX} + 0.01 > 144.6003 AND {_SX} - 0.01 < 144.7003 AND {_SY} + 0.01 > -37.6803 AND {_SY} - 0.01 < -37.6403")
 simple("st_area", "supplier", "SELECT _key, ST_Area(geometry) AS km2 FROM supplier WHERE ST_Area(geometry, geometry, 3.5)", f"SELECT cast(s_suppkey AS VARCHAR) AS _key, round(0.0004 * 111.0 * 111.0 * cos(radians({_SY} - 0.002)), 4) AS km2 FROM supplier", {"km2": 4})
-simple("st_centroid", "customer", "SELECT _key, ST_Centroid(geometry)->'coordinates'->>0 AS lon FROM customer", f"SELECT cast(c_custkey AS VARCHAR) AS _key, round({_LON}, 6) AS lon FROM customer")
+
+
+@add("st_centroid", f"SELECT cast(c_custkey AS VARCHAR) AS _key, round({_LON}, 6) AS lon FROM customer")
+def st_centroid(spark, d):
+    df = db(spark, d, ("customer",)).query("SELECT _key, ST_Centroid(geometry)->'coordinates'->>0 AS lon FROM customer")
+    return df.withColumn("lon", F.round(F.col("lon").cast("double"), 6))
 
 
 @add("st_length", "SELECT 's' || k AS _key, round(2 * 6371.0 * asin(sqrt(sin(radians(0.01 * k) / 2) ** 2)), 6) AS km FROM range(1, 6) t(k) WHERE 2 * 6371.0 * asin(sqrt(sin(radians(0.01 * k) / 2) ** 2)) > 2")
@@ -352,9 +352,6 @@ def st_length(spark, d):
     return g.query("SELECT _key, ST_Length(geometry) AS km FROM line WHERE ST_Length(geometry, 2)").withColumn("km", F.round("km", 6))
 
 
-QUERIES["st_centroid"] = lambda spark, d: db(spark, d, ("customer",)).query("SELECT _key, ST_Centroid(geometry)->'coordinates'->>0 AS lon FROM customer").withColumn("lon", F.round(F.regexp_extract("lon", "-?[0-9.]+", 0).cast("double"), 6))
-
-
 @add("hybrid_spatial_graph", f"SELECT DISTINCT 'orders/' || o_orderkey AS _id FROM customer JOIN orders ON o_custkey = c_custkey WHERE {_KM} <= 5 AND o_totalprice > 20000")
 def hybrid_spatial_graph(spark, d):
     g = db(spark, d, ("customer", "orders"), ("placed",))
@@ -445,6 +442,3 @@ def event_windows(spark, d):
 def entry(spark, d: str = "/root/testdata/sf0.001") -> DataFrame:
     """Orders and their value per nation, over customer and order paths."""
     return QUERIES["path_group_sum"](spark, d)
-
-
-__all__ = ["QUERIES", "SQL", "entry", "C", "predicates", "sets"]
