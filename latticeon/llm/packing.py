@@ -83,8 +83,6 @@ class FastEncoder:
                 got[t] = raw[4 * a : 4 * b]
                 a = b
         words = self.words
-        if len(words) + len(cut) > self.limit:
-            words.trim()
         if len(known) + len(got) > self.limit // 2:
             known_now = dict(known)
             known.trim()
@@ -98,6 +96,8 @@ class FastEncoder:
         out: list[bytes] = []
         for at in range(0, len(texts), 200):
             some = texts[at : at + 200]
+            if len(self.words) > self.limit:
+                self.words.trim()  # before it is seen which words are missing
             cut = [None if _UNUSUAL.search(t) else t.lower().split() for t in some]
             new = set().union(*[c for c in cut if c]) - self.words.keys()
             if new:

@@ -331,3 +331,10 @@ def test_toxic_held_out(spark):
     hits = [(x["predicted"], int(x["doc_id"] % 5 == 0)) for x in got]
     tp = sum(1 for p, t in hits if p and t)
     assert tp / sum(t for _, t in hits) > 0.95 and tp / max(1, sum(p for p, _ in hits)) > 0.95
+
+
+def test_ids_while_caches_turn_over():
+    r = random.Random(1)
+    e = packing.FastEncoder(PATH(packing.MODEL), limit=500)
+    texts = [" ".join("".join(r.choice("abcdeé.") for _ in range(r.randrange(1, 5))) for _ in range(50)) for _ in range(1500)]
+    assert e.encode(texts) == [e.whole(t) for t in texts]
