@@ -61,6 +61,14 @@ class PieceModel:
             self.piece[p] = (-math.log(2 + rank) if merge_ranks else -s, i)
         self.reach: dict[str, tuple] = {p[:k]: () for p in self.piece for k in range(1, len(p))}
         self.reach.update({p: (w, (i,)) for p, (w, i) in self.piece.items()})
+        # Nodes: (children, score or None, ids).
+        self.trie: dict[str, tuple] = {}
+        for p in sorted(self.reach, key=len):
+            level = self.trie
+            for ch in p[:-1]:
+                level = level[ch][0]
+            w = self.reach[p]
+            level[p[-1]] = ({}, w[0] if w else None, w[1] if w else None)
         self.byte_score = min(s for s, _ in self.piece.values()) - 5.0
         inner = any(BLANK in p.lstrip(BLANK) for p in self.piece)
         self.cut = re.compile(".+" if inner else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", re.S)
@@ -129,59 +137,77 @@ class PieceModel:
                 break
         return out
 
-    def _remember(self, s: str) -> tuple[float, float, bytes]:
-        """Best score, what the second choice costs, ids of the best: a forward pass that keeps two scores a place."""
-        n, get = len(s), self.reach.get
+    def _remember(self, s: str) -> tuple[float, float, bytes, bool]:
+        """Best score, what the second choice costs, ids of the best, whether they spell the segment.
+
+        A forward pass over the pieces' trie that keeps two scores a place.
+        """
+        n, root = len(s), self.trie
         best, second = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
         back: list = [None] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            base = best[i]
-            j, p = i + 1, get(s[i])
-            if not p:
+            base, other = best[i], second[i]
+            node = root.get(s[i])
+            if node is None or node[1] is None:
                 raw = s[i].encode("utf-8", "surrogatepass")
-                p, follow = (self.byte_score * len(raw), tuple([self.byte[x] for x in raw])), p is not None
-            else:
-                follow = True
-            while p is not None:
-                if p:
-                    w = p[0]
+                w, j = self.byte_score * len(raw), i + 1
+                v, old = base + w, best[j]
+                if v > old:
+                    u = other + w
+                    best[j], second[j], back[j] = v, old if old > u else u, (i, tuple([self.byte[x] for x in raw]))
+                elif v > second[j]:
+                    second[j] = v
+            j = i + 1
+            while node is not None:
+                w = node[1]
+                if w is not None:
                     v, old = base + w, best[j]
                     if v > old:
-                        u = second[i] + w
-                        best[j], second[j] = v, old if old > u else u
-                        back[j] = (i, p[1])
+                        u = other + w
+                        best[j], second[j], back[j] = v, old if old > u else u, (i, node[2])
                     elif v > second[j]:
                         second[j] = v
-                j += 1
-                if not follow or j > n:
+                if j == n:
                     break
-                p = get(s[i:j])
+                node = node[0].get(s[j])
+                j += 1
         ids: list[int] = []
         j = n
         while j:
             j, own = back[j]
             ids += own[::-1]
         ids.reverse()
-        return best[n], best[n] - second[n], array("I", ids).tobytes()
+        return best[n], best[n] - second[n], array("I", ids).tobytes(), self._spell(ids) == s.replace(BLANK, " ")
+
+    def _spell(self, ids) -> str:
+        return b"".join([self.texts[i] for i in ids]).decode("utf-8", "replace")
 
     def normalise(self, text: str) -> str:
         return (" " + text).replace(" ", BLANK) if text else ""
 
-    def encode(self, text: str) -> tuple[list[float], bytes]:
-        """Scores of the n best segmentations of a text, and the ids of the best."""
+    def encode_full(self, text: str) -> tuple[list[float], bytes, bool]:
+        """Scores of the n best segmentations of a text, the ids of the best, and whether they spell the text."""
         pieces = self.cut.findall(self.normalise(text))
-        parts = list(map(self.segments.__getitem__, pieces))
-        total = math.fsum([p[0] for p in parts])
-        cost = [p[1] for p in parts]
+        if not pieces:
+            return [0.0], b"", True
+        best, cost, ids, spelt = zip(*map(self.segments.__getitem__, pieces))
+        total = math.fsum(best)
         costs = [0.0]
-        for k in heapq.nsmallest(self.n - 1, range(len(parts)), key=cost.__getitem__) if self.n > 1 else []:
-            if cost[k] < math.inf:
-                costs = heapq.nsmallest(self.n, [c + parts[k][0] - x for c in costs for x, _ in self.search(pieces[k], self.n)])
-        return [total - c for c in costs], b"".join([p[2] for p in parts])
+        if self.n > 1:
+            c = np.array(cost)
+            m = min(self.n - 1, len(c))
+            near = np.argpartition(c, m - 1)[:m]
+            for k in near.tolist():
+                if cost[k] < math.inf:
+                    costs = heapq.nsmallest(self.n, [x + best[k] - y for x in costs for y, _ in self.search(pieces[k], self.n)])
+        return [total - x for x in costs], b"".join(ids), all(spelt)
+
+    def encode(self, text: str) -> tuple[list[float], bytes]:
+        return self.encode_full(text)[:2]
 
     def decode(self, ids) -> str:
-        text = b"".join([self.texts[i] for i in ids]).decode("utf-8", "replace")
+        text = self._spell(ids)
         return text[1:] if text.startswith(" ") else text
 
 
@@ -205,8 +231,8 @@ def segment(docs: DataFrame, path: str, n: int = N_BEST, doc_id: str = "doc_id",
         m, out = model(path, n), []
         for x in t:
             x = x.as_py()
-            scores, ids = m.encode(x)
-            out.append({"n_pieces": len(ids) // 4, "ids_crc32": zlib.crc32(ids), "best_score": scores[0], "scores": scores, "restored": m.decode(np.frombuffer(ids, "<u4").tolist()) == x.replace(BLANK, " ")})
+            scores, ids, spelt = m.encode_full(x)
+            out.append({"n_pieces": len(ids) // 4, "ids_crc32": zlib.crc32(ids), "best_score": scores[0], "scores": scores, "restored": spelt})
         return pa.array(out, _OUT)
 
     tune(docs.sparkSession)
