@@ -27,6 +27,7 @@ from bisect import bisect_right, insort
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ MODEL = "word_bpe_49k.json"
 CAPACITY = 2048
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[^\W_]|(?:[^\w\s]|_)+")
 #: Outside of these, Unicode tables of different libraries may differ: the library reads the whole text itself.
-_UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0\xc0-\xd6\xd8-\xf6\xf8-\xff–—‘-„…]|<\\|")
+_UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff–—‘-„…]")
 
 
 class FastEncoder:
@@ -57,8 +58,9 @@ class FastEncoder:
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.bytes = {i: c for i, c in enumerate(byte_chars()) if i != 32}
         self.limit = limit
+        #: Ids of words and of the pre-tokens that they consist of.
         self.words: dict[str, bytes] = BoundedCache(None, limit)
-        self.tokens: dict[str, bytes] = BoundedCache(None, limit // 2)
+        self.words[""] = b""
         vocab = self.library.get_vocab(True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -68,42 +70,62 @@ class FastEncoder:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, new: set[str]) -> None:
-        cut = {w: [w] if w.isalpha() else [w[:-1], w[-1]] if w[-1] in ".,;:" and w[:-1].isalpha() else _PRETOKEN.findall(w) for w in new}
-        known = self.tokens
-        ask = sorted({t for ts in cut.values() for t in ts if t not in known})
-        got = dict.fromkeys(ask)
-        for at in range(0, len(ask), 4000):
-            some = ask[at : at + 4000]
+        words, ask, composed = self.words, set(), []
+        for w in new:
+            if w.isalpha():
+                ask.add(w)
+                continue
+            parts = [w[:-1], w[-1]] if w[-1] in ".,;:" and w[:-1].isalpha() else _PRETOKEN.findall(w)
+            if len(parts) == 1:
+                ask.add(w)
+            else:
+                composed.append((w, parts))
+                ask.update([t for t in parts if t not in words])
+        ordered = list(ask)
+        for at in range(0, len(ordered), 4000):
+            some = ordered[at : at + 4000]
             ids = np.asarray(self.model.encode_batch_fast([" ".join(some).encode().decode("latin-1").translate(self.bytes)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(stops) != len(some):
                 raise ValueError("a word was not encoded by itself")
             raw, a = ids.tobytes(), 0
-            for t, b in zip(some, stops.tolist()):
-                got[t] = raw[4 * a : 4 * b]
+            for t, b in zip(some, stops):
+                words[t] = raw[a:b]
                 a = b
-        words = self.words
-        if len(known) + len(got) > self.limit // 2:
-            known_now = dict(known)
-            known.trim()
-        else:
-            known_now = known
-        for w, ts in cut.items():
-            words[w] = b"".join([got[t] if t in got else known_now[t] for t in ts])
-        known.update(got)
+        for w, parts in composed:
+            words[w] = b"".join([words[t] for t in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 200):
-            some = texts[at : at + 200]
-            if len(self.words) > self.limit:
-                self.words.trim()  # before it is seen which words are missing
-            cut = [None if _UNUSUAL.search(t) else t.lower().split() for t in some]
-            new = set().union(*[c for c in cut if c]) - self.words.keys()
-            if new:
-                self.learn(new)
-            get = self.words.__getitem__
-            out += [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(some, cut)]
+        """Words are told apart by Arrow's dictionary encoding, so Python meets each distinct word of a batch once."""
+        if len(self.words) > self.limit:
+            self.words.trim()
+            self.words[""] = b""
+        usual = ["<|" not in t and not _UNUSUAL.search(t) for t in texts]
+        lists = pc.ascii_split_whitespace(pa.array([t.lower() for t, ok in zip(texts, usual) if ok], pa.large_string()))
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        get = self.words.get
+        found = list(map(get, distinct))
+        if None in found:
+            self.learn({w for w, i in zip(distinct, found) if i is None})
+            found = [get(w) if i is None else i for w, i in zip(distinct, found)]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[index]
+        ends = np.cumsum(own)
+        # The ids of all words in a row, and where each text's begin.
+        stream = ids[np.repeat(starts[index] - (ends - own), own) + np.arange(ends[-1])] if len(ends) else ids[:0]
+        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist() if len(lists) else [0]
+        raw, at, out = stream.tobytes(), 0, []
+        for t, ok in zip(texts, usual):
+            if ok:
+                out.append(raw[4 * cuts[at] : 4 * cuts[at + 1]])
+                at += 1
+            else:
+                out.append(self.whole(t))
         return out
 
 
