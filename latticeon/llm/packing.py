@@ -51,8 +51,9 @@ class FastEncoder:
     def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        # The same model for words that are already lower-cased, cut and mapped to byte stand-ins.
+        self.path = path
+        self._library = None
+        # The model for words that are already lower-cased, cut and mapped to byte stand-ins.
         self.model = Tokenizer.from_file(path)
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
@@ -61,11 +62,20 @@ class FastEncoder:
         #: Ids of words and of the pre-tokens that they consist of.
         self.words: dict[str, bytes] = BoundedCache(None, limit)
         self.words[""] = b""
-        vocab = self.library.get_vocab(True)
+        vocab = self.model.get_vocab(True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
 
+    @property
+    def library(self):
+        """The whole tokenizer; few texts need it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -95,7 +105,20 @@ class FastEncoder:
         for w, parts in composed:
             words[w] = b"".join([words[t] for t in parts])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], characters: int = 1_000_000) -> list[bytes]:
+        """Texts in groups of about so many characters, which bounds memory where texts are long."""
+        out: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if size >= characters:
+                out += self._encode(group)
+                group, size = [], 0
+        return out + self._encode(group)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         """Words are told apart by Arrow's dictionary encoding, so Python meets each distinct word of a batch once."""
         if len(self.words) > self.limit:
             self.words.trim()
