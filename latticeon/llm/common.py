@@ -90,3 +90,22 @@ class BoundedCache(dict):
 
         for k in list(islice(self, len(self) // 2)):
             del self[k]
+
+
+_FORGET: dict = {}
+_NOW = ""
+
+
+def keeps(name: str, forget) -> None:
+    """Registers how an operator empties the caches that it keeps between a worker's tasks."""
+    _FORGET[name] = forget
+
+
+def enter(name: str) -> None:
+    """Called where an operator begins in a worker: the caches of the others are emptied."""
+    global _NOW
+    if _NOW != name:
+        for other, forget in _FORGET.items():
+            if other != name:
+                forget()
+        _NOW = name

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, materialise, to_text, tune
+from .common import BoundedCache, enter, keeps, materialise, to_text, tune
 
 BANDS, ROWS, BITS = 32, 4, 2
 K = BANDS * ROWS
@@ -51,6 +51,7 @@ _B = _RNG.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32)
 _P = _RNG.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _HASHES = BoundedCache(xxhash.xxh3_64_intdigest, 400_000)
+keeps("neardup", _HASHES.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -119,6 +120,7 @@ _SKETCH = pa.struct([("n", pa.int64()), ("fp", pa.binary()), ("sig", pa.list_(pa
 def sketch_column(text: str = "text") -> Column:
     @F.arrow_udf("struct<n:long,fp:binary,sig:array<long>,bands:array<long>>")
     def sketch(t: pa.Array) -> pa.Array:
+        enter("neardup")
         n, fp, sig, bands = [], [], [], []
         for x in t:
             s = shingle_set(x.as_py())
@@ -177,6 +179,7 @@ def _size_ok() -> Column:
 
 
 def _confirm(a: pa.Array, b: pa.Array) -> pa.Array:
+    enter("neardup")
     kept: dict[str, np.ndarray] = {}
 
     def of(t: str) -> np.ndarray:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, materialise, to_text, tune
+from .common import BoundedCache, enter, keeps, materialise, to_text, tune
 from .tokencount import byte_chars
 
 MODEL = "word_bpe_49k.json"
@@ -153,6 +153,7 @@ class FastEncoder:
 
 
 _ENCODERS: dict[str, FastEncoder] = {}
+keeps("packing", _ENCODERS.clear)
 
 
 def encoder(path: str) -> FastEncoder:
@@ -256,6 +257,7 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc
 
     @F.arrow_udf(PIECES)
     def cut(t: pa.Array) -> pa.Array:
+        enter("packing")
         enc = encoder(path)
         return pa.array([cut_document(x + end, capacity) for x in enc.encode(t.to_pylist())], _PIECES)
 

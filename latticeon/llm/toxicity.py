@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, to_text, tune
+from .common import BoundedCache, enter, to_text, tune
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -198,6 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     @F.arrow_udf("array<double>")
     def evidence(t: pa.Array) -> pa.Array:
+        enter("toxicity")
         return pa.array([scorer.evidence(x.as_py()) for x in t], pa.list_(pa.float64()))
 
     held = chosen.filter(part == 0).select(evidence("__t").alias("x"), "__y").toPandas()
@@ -213,6 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score_column(scorer: Scorer, text: str = "text") -> Column:
     @F.arrow_udf("double")
     def toxicity(t: pa.Array) -> pa.Array:
+        enter("toxicity")
         return pa.array([scorer.score(x.as_py()) for x in t], pa.float64())
 
     return toxicity(to_text(text))
