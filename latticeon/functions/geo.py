@@ -171,6 +171,12 @@ def area_km2(g: Column) -> Column:
 
 
 def cell(g: Column, degrees: float) -> tuple[Column, Column]:
-    """Grid cell of the centroid, for joins of two spatial tables on cells."""
+    """Grid cell of the centroid, for joins of two spatial tables on cells.
+
+    Decimal arithmetic on coordinates rounded to 12 places: a point on a border belongs to the cell that begins there,
+    whatever the last bits of its doubles.
+    """
     c = centroid(g)
-    return F.floor(c["lat"] / degrees).alias("cell_lat"), F.floor(c["lon"] / degrees).alias("cell_lon")
+    number = "decimal(20,12)"
+    index = lambda x: F.floor(x.try_cast(number) / F.lit(degrees).cast(number)).cast("long")
+    return index(c["lat"]).alias("cell_lat"), index(c["lon"]).alias("cell_lon")

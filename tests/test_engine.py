@@ -1,5 +1,7 @@
 """Scenarios on tiny graphs, by feature."""
 
+from collections import Counter
+
 import pandas as pd
 import pytest
 
@@ -120,6 +122,14 @@ def test_space(spark):
     assert geo.EARTH_KM == 6371.0
 
 
+def test_cells_count_all_customers(spark, tmp_path):
+    from latticeon.queries import QUERIES
+
+    spark.range(3000).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {(r["cell_lat"], r["cell_lon"]): r["n"] for r in QUERIES["spatial_cells"](spark, str(tmp_path)).collect()}
+    assert got == Counter(((-37_600 - k % 600) // 50, (144_500 + k % 1000) // 50) for k in range(3000))
+
+
 def test_text(spark):
     db = DB(spark)
     db.execute("INSERT INTO docs (_key, title, body) VALUES ('1', 'rust language', 'systems programming'), ('2', 'python', 'scripting language here'), ('3', 'cooking', 'pasta recipes'), ('4', 'travel', 'places'), ('5', 'music', 'songs')")
