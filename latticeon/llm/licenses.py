@@ -51,7 +51,7 @@ NOTICES = {
 }
 _SURE = {"cc by": 0.7, "general public license": 0.8, "all rights reserved": 0.6}
 _TAG = "spdx license identifier"
-_TAG_RE = re.compile(r"spdx-license-identifier:[\x20\t]*([^\r\n]{0,400})", re.I | re.A)
+_TAG_RE = re.compile(r"spdx-license-identifier:[\x20\t]*([^\r\n]*)", re.I | re.A)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+_:-]+|[^\x20\t]")
 _IDENT = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+_:-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -64,7 +64,6 @@ def evaluate(expression: str) -> tuple[frozenset[str], list[frozenset[str]]] | N
     expression does no harm. None if no identifier begins the expression. More
     than 64 alternatives are merged into one set of all identifiers.
     """
-    tokens = _TOKEN.findall(expression)
     output: list[list[frozenset[str]]] = []
     stack: list[str] = []
     best = None
@@ -89,7 +88,8 @@ def evaluate(expression: str) -> tuple[frozenset[str], list[frozenset[str]]] | N
             apply(op, out)
         return out[0] if len(out) == 1 else best
 
-    for t in tokens:
+    for m in _TOKEN.finditer(expression):
+        t = m[0]
         low = t.lower()
         if need:
             if t == "(":

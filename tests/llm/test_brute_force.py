@@ -81,6 +81,13 @@ def test_expressions():
     assert got["labels"] == "apache-2.0,mit" and got["score"] == 1.0
 
 
+def test_expression_to_the_end_of_its_line():
+    names = [f"Lic-{i}.0" for i in range(60)] + ["Apache-2.0"]
+    got = licenses.scan_text("// SPDX-License-Identifier: " + " OR ".join(names) + " */\nMIT license")
+    assert got["labels"].split(",") == sorted([x.lower() for x in names] + ["mit"])
+    assert got["expression"] == " or ".join(x.lower() for x in names)
+
+
 # ── token counts ──
 TOKEN_TEXT = st.text(alphabet=st.sampled_from(list("abzAB'srtévdlm .,!?-_09\n\t\r  ßÑ中\U0001f600\x1c\x85")), max_size=60) | st.lists(st.sampled_from(["<|endoftext|>", "the ", " world", "  ", "\n\n", "don't", "I'll"]), max_size=8).map("".join)
 
