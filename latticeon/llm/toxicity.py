@@ -10,7 +10,8 @@ a Kneser-Ney model over both classes together, whose lower orders use continuati
 counts. Rare expressions thus fall back to counts the classes share and hardly
 tell them apart. A word's log-likelihood ratio is the sum over its characters; a document's
 evidence is length-normalised (means per word), and a logistic calibration on
-labelled documents kept out of the counts maps it to a score.
+labelled documents kept out of the counts maps it to a score. Words of over 64 letters
+are taken in pieces of 64, in training and in scoring.
 
 Training reads a bounded sample: at most ``per_class`` labelled rows a class, those with the smallest
 hash of their id, three quarters for counts, the rest for calibration. The model
@@ -37,6 +38,7 @@ from .common import BoundedCache, enter, to_text, tune
 
 ORDER = 6
 DISCOUNT = 0.75
+PIECE = 64
 THRESHOLD = 0.7
 #: What errors on ordinary and toxic documents cost in the calibration.
 MISS_COST = np.array([1.0, 2.0])
@@ -47,6 +49,11 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def pieces_of(word: str):
+    """Words of over PIECE letters count as several."""
+    return [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
+
+
 def grams_of(word: str, order: int):
     """(context, gram) at each character of the word; contexts reach back to its edge."""
     w = f" {word} "
@@ -116,7 +123,7 @@ class KneserNey:
     def ratio(self, word: str) -> float:
         """Toxic minus ordinary log-likelihood of a word."""
         grams, contexts = self.grams, self.contexts
-        return sum(grams[g] if g in grams else contexts.get(h, 0.0) for h, g in grams_of(word[:64], self.order)) if len(word) <= 64 else self.ratio(word[:64]) + self.ratio(word[64:])
+        return sum(grams[g] if g in grams else contexts.get(h, 0.0) for p in pieces_of(word) for h, g in grams_of(p, self.order))
 
 
 class Scorer:
@@ -184,8 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                     per[w, y] += n
             two: dict[str, list[int]] = {}
             for (w, y), n in per.items():
-                if len(w) <= 64:
-                    for _, g in grams_of(w, order):
+                for p in pieces_of(w):
+                    for _, g in grams_of(p, order):
                         two.setdefault(g, [0, 0])[y] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(two), pa.string()), pa.array([v[0] for v in two.values()], pa.int64()), pa.array([v[1] for v in two.values()], pa.int64())], names=["g", "c0", "c1"])
 

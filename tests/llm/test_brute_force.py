@@ -340,6 +340,18 @@ def test_toxic_held_out(spark):
     assert tp / sum(t for _, t in hits) > 0.95 and tp / max(1, sum(p for p, _ in hits)) > 0.95
 
 
+def test_words_of_any_length(spark):
+    long = "vileword" * 9
+    docs = [(i, "a calm day of the week " * 5 + (long if i % 2 else "and more")) for i in range(120)] + [(1000, "a" * 200_000), (1001, long)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    y = spark.createDataFrame([(i, 1, i % 2) for i in range(120)] + [(1000, 1, 0)], "doc_id long, quality int, toxic int")
+    s = toxicity.train(d, y)
+    assert s.weights is not None and s.model.ratio(long) > 5 > s.model.ratio("calm")
+    assert toxicity.words_of("a" * 200_000) == ["a" * 200_000] and 0 <= s.score("a" * 200_000) < toxicity.THRESHOLD
+    got = {r["doc_id"]: r["score"] for r in d.select("doc_id", toxicity.score_column(s).alias("score")).collect()}
+    assert len(got) == 122 and got[1001] > toxicity.THRESHOLD > got[1000]
+
+
 def test_ids_while_caches_turn_over():
     r = random.Random(1)
     e = packing.FastEncoder(PATH(packing.MODEL), limit=500)
