@@ -8,7 +8,8 @@ hypotheses leave the agenda best first, and the best extension of one is followe
 
 The N best of a text combine its segments' alternatives: only the N - 1 occurrences
 whose second choice costs least can take part, and those are searched and merged exactly. The
-forward pass of each segment keeps the second score, too, which tells these occurrences.
+forward pass of each segment keeps the second score, too, which tells these occurrences. The
+merge carries which occurrence takes which alternative, so each hypothesis has its ids.
 
 Scores: those of a unigram model; of a merge-based model, which only ranks its pieces,
 ``-ln(2 + rank)``. Segments are remembered in a bounded cache. Null text: empty, no pieces,
@@ -25,7 +26,8 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, to_text, tune
@@ -137,8 +139,8 @@ class PieceModel:
                 break
         return out
 
-    def _remember(self, s: str) -> tuple[float, float, bytes, bool]:
-        """Best score, what the second choice costs, ids of the best, whether they spell the segment.
+    def _remember(self, s: str) -> tuple[float, float, bytes]:
+        """Best score, what the second choice costs, ids of the best.
 
         A forward pass over the pieces' trie that keeps two scores a place.
         """
@@ -178,7 +180,7 @@ class PieceModel:
             j, own = back[j]
             ids += own[::-1]
         ids.reverse()
-        return best[n], best[n] - second[n], array("I", ids).tobytes(), self._spell(ids) == s.replace(BLANK, " ")
+        return best[n], best[n] - second[n], array("I", ids).tobytes()
 
     def _spell(self, ids) -> str:
         return b"".join([self.texts[i] for i in ids]).decode("utf-8", "replace")
@@ -186,25 +188,37 @@ class PieceModel:
     def normalise(self, text: str) -> str:
         return (" " + text).replace(" ", BLANK) if text else ""
 
-    def encode_full(self, text: str) -> tuple[list[float], bytes, bool]:
-        """Scores of the n best segmentations of a text, the ids of the best, and whether they spell the text."""
+    def _alternatives(self, s: str, total: float, ids: bytes) -> list[tuple[float, bytes]]:
+        """What each of the n best segmentations of a segment costs beside its best, and its ids; the best is the given one."""
+        found = [(max(0.0, total - x), array("I", i).tobytes()) for x, i in self.search(s, self.n)]
+        return [(0.0, ids), *[x for x in found if x[1] != ids]][: self.n]
+
+    def encode_all(self, text: str) -> tuple[list[float], list[bytes]]:
+        """Scores and ids of the n best segmentations of a text, best first."""
         pieces = self.cut.findall(self.normalise(text))
         if not pieces:
-            return [0.0], b"", True
-        best, cost, ids, spelt = zip(*map(self.segments.__getitem__, pieces))
+            return [0.0], [b""]
+        best, cost, ids = zip(*map(self.segments.__getitem__, pieces))
         total = math.fsum(best)
-        costs = [0.0]
+        chosen: list[tuple[float, tuple]] = [(0.0, ())]  # cost, (segment, its ids) of those that take part
         if self.n > 1:
             c = np.array(cost)
             m = min(self.n - 1, len(c))
-            near = np.argpartition(c, m - 1)[:m]
-            for k in near.tolist():
+            for k in np.argpartition(c, m - 1)[:m].tolist():
                 if cost[k] < math.inf:
-                    costs = heapq.nsmallest(self.n, [x + best[k] - y for x in costs for y, _ in self.search(pieces[k], self.n)])
-        return [total - x for x in costs], b"".join(ids), all(spelt)
+                    every = self._alternatives(pieces[k], best[k], ids[k])
+                    chosen = heapq.nsmallest(self.n, [(x + y, (*took, (k, i))) for x, took in chosen for y, i in every], key=lambda z: z[0])
+        out = [b"".join(ids)]
+        for _, took in chosen[1:]:
+            own = list(ids)
+            for k, i in took:
+                own[k] = i
+            out.append(b"".join(own))
+        return [total - x for x, _ in chosen], out
 
     def encode(self, text: str) -> tuple[list[float], bytes]:
-        return self.encode_full(text)[:2]
+        scores, ids = self.encode_all(text)
+        return scores, ids[0]
 
     def decode(self, ids) -> str:
         text = self._spell(ids)
@@ -220,20 +234,63 @@ def model(path: str, n: int = N_BEST) -> PieceModel:
     return _MODELS[path, n]
 
 
-_OUT = pa.struct([("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("best_score", pa.float64()), ("scores", pa.list_(pa.float64())), ("restored", pa.bool_())])
+_NBEST = pa.struct([("ids", pa.list_(pa.list_(pa.int32()))), ("scores", pa.list_(pa.float64()))])
+
 
+def _offsets(lengths) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32))
 
-def segment(docs: DataFrame, path: str, n: int = N_BEST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, best_score, scores of the n best, restored (decoding gives the text back)."""
 
-    @F.arrow_udf("struct<n_pieces:long,ids_crc32:long,best_score:double,scores:array<double>,restored:boolean>")
+def nbest_column(path: str, n: int = N_BEST, text: str = "text") -> Column:
+    """Struct of a text's n best segmentations: ids of each, best first, and their scores."""
+
+    @F.arrow_udf("struct<ids:array<array<int>>,scores:array<double>>")
     def nbest(t: pa.Array) -> pa.Array:
-        m, out = model(path, n), []
+        m = model(path, n)
+        scores, ids = [], []
         for x in t:
-            x = x.as_py()
-            scores, ids, spelt = m.encode_full(x)
-            out.append({"n_pieces": len(ids) // 4, "ids_crc32": zlib.crc32(ids), "best_score": scores[0], "scores": scores, "restored": spelt})
-        return pa.array(out, _OUT)
+            a, b = m.encode_all(x.as_py())
+            scores.append(a)
+            ids.append(b)
+        flat = [i for b in ids for i in b]
+        values = pa.Array.from_buffers(pa.int32(), sum(map(len, flat)) // 4, [None, pa.py_buffer(b"".join(flat))])
+        each = pa.ListArray.from_arrays(_offsets([len(i) // 4 for i in flat]), values)
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(_offsets([len(b) for b in ids]), each), pa.array(scores, pa.list_(pa.float64()))], fields=list(_NBEST))
+
+    return nbest(to_text(text))
+
+
+def decode_column(path: str, ids: str = "ids") -> Column:
+    """The text that each segmentation of an array of arrays of ids spells."""
+
+    @F.arrow_udf("array<string>")
+    def decode(rows: pa.Array) -> pa.Array:
+        m = model(path)
+        each = rows.flatten()
+        spelt = pa.array(m.texts, pa.large_binary()).take(each.flatten())
+        at = np.frombuffer(spelt.buffers()[1], np.int64)
+        data = spelt.buffers()[2].to_pybytes() if len(spelt) else b""
+        ends = at[np.cumsum([0, *pc.list_value_length(each).fill_null(0).to_pylist()])].tolist()
+        out = [data[i:j].decode("utf-8", "replace") for i, j in zip(ends, ends[1:])]
+        out = [x[1:] if x.startswith(" ") else x for x in out]
+        return pa.ListArray.from_arrays(_offsets(pc.list_value_length(rows).fill_null(0).to_numpy()), pa.array(out, pa.string()))
+
+    return decode(F.col(ids))
+
+
+def digest_column(ids: str = "ids") -> Column:
+    """Of each segmentation the number of ids and the crc32 of the ids as little-endian 32-bit words."""
+
+    @F.arrow_udf("struct<n_pieces:array<long>,ids_crc32:array<long>>")
+    def digest(rows: pa.Array) -> pa.Array:
+        each = [[i.values.to_numpy().astype("<u4") for i in r.values] for r in rows]
+        kind = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array([[len(i) for i in r] for r in each], kind), pa.array([[zlib.crc32(i) for i in r] for r in each], kind)], names=["n_pieces", "ids_crc32"])
+
+    return digest(F.col(ids))
+
 
+def segment(docs: DataFrame, path: str, n: int = N_BEST, doc_id: str = "doc_id", text: str = "text", keep: tuple = ()) -> DataFrame:
+    """doc_id, ids and scores of the n best, best first; and the columns to keep."""
     tune(docs.sparkSession)
-    return docs.select(F.col(doc_id).alias("doc_id"), nbest(to_text(text)).alias("r")).select("doc_id", "r.*")
+    return docs.select(F.col(doc_id).alias("doc_id"), *keep, nbest_column(path, n, text).alias("r")).select("doc_id", *keep, "r.*")

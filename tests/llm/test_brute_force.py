@@ -308,6 +308,28 @@ def test_order_of_alternatives():
     assert len({tuple(i) for _, i in got}) == 20
 
 
+def test_ids_of_all_n(spark):
+    path = PATH(sentencepieces.MODEL)
+    m = sentencepieces.model(path)
+    score = {i: w for w, i in m.piece.values()}
+    texts = ["of the international trade", "aa bb ab", "the the the ß", "", None, "a", " two  blanks ", "中😀x▁y"]
+    rows = sentencepieces.segment(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    got = rows.select("*", sentencepieces.decode_column(path).alias("decoded"), sentencepieces.digest_column().alias("d")).orderBy("doc_id").collect()
+    for t, r in zip(texts, got):
+        t = t or ""
+        assert len(r["ids"]) == len(r["scores"]) == len({tuple(x) for x in r["ids"]})
+        assert set(r["decoded"]) == {t.replace("▁", " ")} == {m.decode(x) for x in r["ids"]}
+        assert np.allclose(r["scores"], [sum(score.get(i, m.byte_score) for i in x) for x in r["ids"]])
+        assert r["d"]["n_pieces"] == [len(x) for x in r["ids"]]
+        assert r["d"]["ids_crc32"] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in r["ids"]]
+        s = m.normalise(t)
+        every = [[[]]]
+        for ends in m.lattice(s)[0][1:] if len(s) < 12 else []:
+            every.append([[*g, *ids] for i, _, ids in ends for g in every[i]])
+        if len(s) < 12:
+            assert len(r["ids"]) == min(len(every[-1]), m.n) and all(x in every[-1] for x in r["ids"])
+
+
 # ── toxicity ──
 def test_kneser_ney_ratios():
     words = Counter({"abba": 5, "abc": 3, "bad": 2})
