@@ -6,6 +6,7 @@ _collection. Traversal reads the edge columns it needs; node attributes are join
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from functools import reduce
 
@@ -128,10 +129,10 @@ def expand(graph: Graph, rows: DataFrame, at: Column, edge: str, kind: str | Non
     return got.withColumnRenamed("__at", "__end")
 
 
-def shortest_path(graph: Graph, start: str, end: str, max_depth: int = 64):
+def shortest_path(graph: Graph, start: str, end: str):
     """Node ids and edges of a shortest directed path, or None. Ties go to the smaller predecessor.
 
-    Breadth first: a join per level. Only one row per level reaches the driver, to see whether the end is met; then
+    Breadth first, until the end is met or no new node is: a join per level. Only one row per level reaches the driver, to see whether the end is met; then
     the path is walked back, a point lookup per node.
     """
     spark = graph.spark
@@ -143,7 +144,7 @@ def shortest_path(graph: Graph, start: str, end: str, max_depth: int = 64):
     e = graph.edges.select("src", "dst")
     schema = T.StructType([T.StructField("_id", T.StringType()), T.StructField("parent", T.StringType()), T.StructField("depth", T.IntegerType())])
     seen = frontier = spark.createDataFrame([(start, None, 0)], schema)
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         step = e.join(frontier.select(F.col("_id").alias("src")), "src").groupBy("dst").agg(F.min("src").alias("parent"))
         step = step.select(F.col("dst").alias("_id"), "parent", F.lit(depth).alias("depth")).join(seen, "_id", "left_anti").join(ids, "_id", "left_semi")
         frontier = cut_lineage(step)
@@ -155,15 +156,13 @@ def shortest_path(graph: Graph, start: str, end: str, max_depth: int = 64):
             seen = cut_lineage(seen)
         if met["hit"]:
             break
-    else:
-        return None
     path = [end]
     while path[-1] != start:
         path.append(seen.filter(F.col("_id") == path[-1]).select("parent").first()[0])
     path.reverse()
     pairs = list(zip(path, path[1:]))
     wanted = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, src string, dst string")
-    best = graph.edges.join(F.broadcast(wanted), ["src", "dst"]).groupBy("i", "src", "dst").agg(F.min(F.struct("type", "strength")).alias("x"))  # at most max_depth rows
+    best = graph.edges.join(F.broadcast(wanted), ["src", "dst"]).groupBy("i", "src", "dst").agg(F.min(F.struct("type", "strength")).alias("x"))  # the hops of one path
     found = sorted(best.collect())
     return path, [{"from": r["src"], "to": r["dst"], "type": r["x"]["type"], "strength": float(r["x"]["strength"])} for r in found]
 

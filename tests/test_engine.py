@@ -101,6 +101,15 @@ def test_paths(spark):
     assert db.one("p/coby").hops(1).count() == 3 and db.one("p/coby").hops_typed("knows", 2, 2).count() == 2
 
 
+def test_shortest_path_of_any_length(spark):
+    db, far = DB(spark), 66
+    db.df.load_nodes(pd.DataFrame({"k": [str(i) for i in range(far + 1)]}), "p", "k")
+    db.df.load_edges(pd.DataFrame({"s": [str(i) for i in range(far)], "t": [str(i + 1) for i in range(far)]}), "s", "t", edge_type="e", source_collection="p", target_collection="p")
+    q = "SELECT r.length AS n, r._path_keys AS k FROM MATCH SHORTEST (a)-[r*]->(b) WHERE a._key = 'p/{}' AND b._key = 'p/{}'"
+    r = db.query(q.format(0, far)).first()
+    assert (r["n"], r["k"]) == (far, [f"p/{i}" for i in range(far + 1)])
+
+
 def test_space(spark):
     db = DB(spark)
     point = lambda x, y: '{"type":"Point","coordinates":[%s,%s]}' % (x, y)
