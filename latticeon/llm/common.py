@@ -71,6 +71,19 @@ def to_text(col: str):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def byte_groups(batch, column: int, size: int = 4 << 20):
+    """The batch in slices of about so many bytes of a text column, at least a row each: bounds memory where texts are long."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    start = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)) // size
+    at = 0
+    for stop in [*(np.flatnonzero(np.diff(start)) + 1).tolist(), batch.num_rows]:
+        if stop > at:
+            yield batch.slice(at, stop - at)
+        at = stop
+
+
 class BoundedCache(dict):
     """A dict that computes missing values and forgets its older half when full."""
 

@@ -20,9 +20,11 @@ no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_right
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -30,125 +32,129 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BoundedCache, enter, keeps, materialise, to_text, tune
+from .common import byte_groups, enter, keeps, materialise, to_text, tune
 from .tokencount import byte_chars
 
 MODEL = "word_bpe_49k.json"
 CAPACITY = 2048
+END = "</w>"
+MARK = "\x01"
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[^\W_]|(?:[^\w\s]|_)+")
-#: Outside of these, Unicode tables of different libraries may differ: the library reads the whole text itself.
-_UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff–—‘-„…]")
+#: Outside of these, Unicode tables of different libraries may differ: the library reads the whole word itself.
+_UNUSUAL = "[^\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff–—‘-„…]"
 
 
 class FastEncoder:
-    """The ids of a tokenizers file, as little-endian 32-bit bytes, through a bounded cache of words.
+    """The ids of a tokenizers file.
 
-    Texts of usual characters are cut at white space; the ids of a word depend on the word
-    alone. Words not seen before are given to the library, many at a time.
-    """
+    Words of a group of texts are told apart by Arrow's dictionary encoding; a word's ids depend on
+    the word alone. Words not met before go to a byte-pair merger whose ranks are the file's ids, a word's end being
+    the byte 1. It may join any neighbours that spell a token, the file only those of the
+    token's own merge: the same wherever ids rise with the merges (looked at here) and
+    each token, encoded by itself, stays whole (so in the public file). Other files, and words with unusual characters,
+    are left to the library.
 
-    def __init__(self, path: str, limit: int = 600_000):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    Words are remembered in Arrow and NumPy arrays of about ``limit`` bytes at most.
+    """
 
-        self.path = path
+    def __init__(self, path: str, limit: int = 20 << 20):
+        self.path, self.limit = path, limit
         self._library = None
-        # The model for words that are already lower-cased, cut and mapped to byte stand-ins.
-        self.model = Tokenizer.from_file(path)
-        self.model.normalizer = normalizers.Sequence([])
-        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        self.bytes = {i: c for i, c in enumerate(byte_chars()) if i != 32}
-        self.limit = limit
-        #: Ids of words and of the pre-tokens that they consist of.
-        self.words: dict[str, bytes] = BoundedCache(None, limit)
-        self.words[""] = b""
-        vocab = self.model.get_vocab(True)
+        file = json.load(open(path, encoding="utf-8"))
+        vocab = file["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        for token, i in vocab.items():
-            self.ends[i] = token.endswith("</w>")
-
-    @property
+        self.ends[[i for t, i in vocab.items() if t.endswith(END)]] = True
+        self.merger = self._merger(file)
+        self.forget()
+
+    @staticmethod
+    def _merger(file: dict):
+        import tiktoken
+
+        model = file["model"]
+        vocab, merges = model["vocab"], model["merges"]
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        special = {t["content"] for t in file["added_tokens"]}
+        plain = {t: i for t, i in vocab.items() if t not in special}
+        first = len(plain) - len(made)
+        if model.get("end_of_word_suffix") != END or made != list(range(first, first + len(made))):
+            return None
+        back = {c: i for i, c in enumerate(byte_chars())}
+        ranks = {bytes([back[c] for c in t.removesuffix(END)]) + MARK.encode() * t.endswith(END): i for t, i in plain.items()}
+        return tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids = np.zeros(0, np.uint32)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @cached_property
     def library(self):
-        """The whole tokenizer; few texts need it."""
-        if self._library is None:
-            from tokenizers import Tokenizer
+        """The whole tokenizer; few words need it."""
+        from tokenizers import Tokenizer
 
-            self._library = Tokenizer.from_file(self.path)
-        return self._library
+        return Tokenizer.from_file(self.path)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, new: set[str]) -> None:
-        words, ask, composed = self.words, set(), []
-        for w in new:
-            if w.isalpha():
-                ask.add(w)
-                continue
-            parts = [w[:-1], w[-1]] if w[-1] in ".,;:" and w[:-1].isalpha() else _PRETOKEN.findall(w)
-            if len(parts) == 1:
-                ask.add(w)
-            else:
-                composed.append((w, parts))
-                ask.update([t for t in parts if t not in words])
-        ordered = list(ask)
-        for at in range(0, len(ordered), 4000):
-            some = ordered[at : at + 4000]
-            ids = np.asarray(self.model.encode_batch_fast([" ".join(some).encode().decode("latin-1").translate(self.bytes)], add_special_tokens=False)[0].ids, "<u4")
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(stops) != len(some):
-                raise ValueError("a word was not encoded by itself")
-            raw, a = ids.tobytes(), 0
-            for t, b in zip(some, stops):
-                words[t] = raw[a:b]
-                a = b
-        for w, parts in composed:
-            words[w] = b"".join([words[t] for t in parts])
-
-    def encode(self, texts: list[str], characters: int = 1_000_000) -> list[bytes]:
-        """Texts in groups of about so many characters, which bounds memory where texts are long."""
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
-        for t in texts:
-            group.append(t)
-            size += len(t)
-            if size >= characters:
-                out += self._encode(group)
-                group, size = [], 0
-        return out + self._encode(group)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        """Words are told apart by Arrow's dictionary encoding, so Python meets each distinct word of a batch once."""
-        if len(self.words) > self.limit:
-            self.words.trim()
-            self.words[""] = b""
-        usual = ["<|" not in t and not _UNUSUAL.search(t) for t in texts]
-        lists = pc.ascii_split_whitespace(pa.array([t.lower() for t, ok in zip(texts, usual) if ok], pa.large_string()))
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.combine_chunks()
+    def learn(self, new: pa.Array) -> np.ndarray:
+        """new: distinct words, A-Z lower-cased. Returns their places."""
+        plain = pc.invert(pc.match_substring_regex(new, _UNUSUAL)) if self.merger else pc.is_null(new)
+        alone = pc.and_(plain, pc.utf8_is_alpha(new))
+        words, other = new.filter(alone), new.filter(pc.invert(alone))
+        parts, own = [], []  # of the other words: pre-tokens, or ids
+        for w, ok in zip(other.to_pylist(), plain.filter(pc.invert(alone)).to_pylist()):
+            parts.append(_PRETOKEN.findall(w.lower()) if ok else [])
+            own.append(None if ok else np.frombuffer(self.whole(w), "<u4"))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar(f"{MARK} ", pa.large_string()))[0].as_py()
+        some = [w for p in parts for w in p]
+        text = f"{MARK} ".join(([joined] if joined else []) + some)
+        ids = np.array(self.merger((text + MARK).lower()) if text else [], np.uint32)
+        stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        tokens = np.concatenate([np.ones(len(words), np.int64), np.array([len(p) for p in parts], np.int64)])
+        if len(stops) != tokens.sum() + 1 or stops[-1] != len(ids):
+            raise ValueError("a word was not encoded by itself")
+        last = stops[np.cumsum(tokens)]
+        sizes = np.diff(last, prepend=0)
+        starts = last - sizes
+        at = len(ids)
+        for i, x in enumerate(own, len(words)):
+            if x is not None:
+                starts[i], sizes[i] = at, len(x)
+                at += len(x)
+        base = len(self.known)
+        self.starts = np.concatenate([self.starts, starts + len(self.ids)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids, *[x for x in own if x is not None]])
+        self.known = pa.concat_arrays([self.known, words, other])
+        first = np.asarray(alone)
+        return base + np.where(first, np.cumsum(first) - 1, len(words) + np.cumsum(~first) - 1)
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit words."""
+        if self.known.nbytes + self.ids.nbytes + 2 * self.sizes.nbytes > self.limit:
+            self.forget()
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
+        special = pc.match_substring(texts, "<|")  # special tokens may stand anywhere in a word
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, pa.scalar("", pa.large_string()), texts)))
         coded = lists.flatten().dictionary_encode()
-        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        get = self.words.get
-        found = list(map(get, distinct))
-        if None in found:
-            self.learn({w for w, i in zip(distinct, found) if i is None})
-            found = [get(w) if i is None else i for w, i in zip(distinct, found)]
-        ids = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
-        own = sizes[index]
+        words = coded.dictionary
+        found = pc.index_in(words, self.known)
+        at, new = np.asarray(pc.fill_null(found, 0), np.int64).copy(), pc.is_null(found)
+        if found.null_count:
+            at[np.asarray(new)] = self.learn(words.filter(new))
+        at = at[np.asarray(coded.indices)]
+        own = self.sizes[at]
         ends = np.cumsum(own)
-        # The ids of all words in a row, and where each text's begin.
-        stream = ids[np.repeat(starts[index] - (ends - own), own) + np.arange(ends[-1])] if len(ends) else ids[:0]
-        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist() if len(lists) else [0]
-        raw, at, out = stream.tobytes(), 0, []
-        for t, ok in zip(texts, usual):
-            if ok:
-                out.append(raw[4 * cuts[at] : 4 * cuts[at + 1]])
-                at += 1
-            else:
-                out.append(self.whole(t))
+        stream = self.ids[np.repeat(self.starts[at] - (ends - own), own) + np.arange(ends[-1])] if len(ends) else self.ids[:0]
+        cuts = (4 * np.concatenate([[0], ends])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]).tolist()
+        raw = stream.astype("<u4").tobytes()
+        out = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero(np.asarray(special)).tolist():
+            out[i] = self.whole(texts[i].as_py())
         return out
 
 
@@ -162,13 +168,9 @@ def encoder(path: str) -> FastEncoder:
     return _ENCODERS[path]
 
 
-PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
-_PIECES = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
-
-
-def cut_document(ids: bytes, capacity: int) -> list[dict]:
-    """Pieces of at most capacity ids; only longer documents are cut."""
-    return [{"piece": k, "start": a // 4, "length": (len(ids[a : a + 4 * capacity])) // 4, "ids_crc32": zlib.crc32(ids[a : a + 4 * capacity])} for k, a in enumerate(range(0, len(ids), 4 * capacity))]
+def cut_document(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
+    """(piece, start, length, crc32) of pieces of at most capacity ids; only longer documents are cut."""
+    return [(k, a // 4, len(p) // 4, zlib.crc32(p)) for k, a in enumerate(range(0, len(ids), 4 * capacity)) for p in [ids[a : a + 4 * capacity]]]
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -214,7 +216,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
             content.append(n)
             used[n] = used.get(n, 0) + 1
             room -= n
-        while room and len(content) > 1:
+        while room and content:
             small = min(content)
             used[small] -= 1
             two = best_two(room + small, used, small)
@@ -253,16 +255,21 @@ def slots(bins) -> pd.DataFrame:
 
 
 def tokenised_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: a row for each piece, in one pass without a shuffle."""
     end = int(end_id).to_bytes(4, "little")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), to_text(text).alias("text"))
 
-    @F.arrow_udf(PIECES)
-    def cut(t: pa.Array) -> pa.Array:
+    def cut(batches):
         enter("packing")
         enc = encoder(path)
-        return pa.array([cut_document(x + end, capacity) for x in enc.encode(t.to_pylist())], _PIECES)
+        for batch in batches:
+            for group in byte_groups(batch, 1):
+                found = [cut_document(ids + end, capacity) for ids in enc.encode(group.column(1))]
+                each = group.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+                columns = zip(*[p for x in found for p in x])
+                yield pa.RecordBatch.from_arrays([each, *[pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), cut(to_text(text)).alias("p"))
-    return rows.select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*")
+    return rows.mapInArrow(cut, T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("piece int, start long, length long, ids_crc32 long").fields]))
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 250_000) -> DataFrame:
@@ -273,7 +280,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rows_per_salt: int
     if not total:
         return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
     salts = max(8, -(-total // rows_per_salt))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)))
+    # A row's place in the materialised table, so that equal rows get different salts.
+    salted = pieces.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     per_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_salt.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -109,6 +109,25 @@ def test_ids(texts):
     assert e.encode(texts) == [e.whole(t) for t in texts]
 
 
+def test_every_token_stays_whole():
+    """What the packer's merger rests on: by its own merges, each token's text becomes that token."""
+    import json
+
+    model = json.load(open(PATH(packing.MODEL), encoding="utf-8"))["model"]
+    rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+    assert len(rank) == len(model["merges"]) == len({a + b for a, b in rank})
+    for a, b in rank:
+        t = a + b
+        at = [*t.removesuffix(packing.END)]
+        if t.endswith(packing.END):
+            at[-1] += packing.END
+        while len(at) > 1:
+            r, i = min((rank.get(p, 1 << 30), i) for i, p in enumerate(zip(at, at[1:])))
+            assert r < 1 << 30, t
+            at[i : i + 2] = [at[i] + at[i + 1]]
+        assert at == [t]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=20))
 def test_plan(histogram):
