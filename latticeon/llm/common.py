@@ -85,13 +85,17 @@ def byte_groups(batch, column: int, size: int = 4 << 20):
 
 
 class BoundedCache(dict):
-    """A dict that computes missing values and forgets its older half when full."""
+    """A dict that computes missing values and forgets its older half when full. Very long keys aren't kept."""
+
+    LONGEST = 256
 
     def __init__(self, compute, limit: int = 400_000):
         super().__init__()
         self.compute, self.limit = compute, limit
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.compute(key)
         if len(self) >= self.limit:
             self.trim()
         value = self[key] = self.compute(key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import hamming, licenses, neardup, packing, pii, quality, secrets, sentencepieces, tokencount, toxicity
-from .common import table, to_text
+from .common import table, tune
 from .sql import SQL  # noqa: F401
 
 
@@ -35,12 +35,10 @@ def op10_best_fit_packing(spark, sf_dir):
 
 def op2_sentencepiece_nbest(spark, sf_dir):
     """Count and crc32 of each of the n best (n_pieces and ids_crc32 are those of the best), scores, whether all decode to the text."""
-    path = tokencount.tokenizer_path(sentencepieces.MODEL)
-    rows = sentencepieces.segment(table(spark, sf_dir, "documents"), path, keep=("text",))
-    rows = rows.select("doc_id", "text", "scores", sentencepieces.digest_column("ids").alias("d"), sentencepieces.decode_column(path, "ids").alias("decoded"))
-    source = F.replace(to_text("text"), F.lit(sentencepieces.BLANK), F.lit(" "))
+    tune(spark)
+    rows = table(spark, sf_dir, "documents").select("doc_id", sentencepieces.nbest_digest_column(tokencount.tokenizer_path(sentencepieces.MODEL)).alias("d")).select("doc_id", "d.*")
     first = lambda c: F.col(c)[0]
-    return rows.select("doc_id", first("d.n_pieces").alias("n_pieces"), first("d.ids_crc32").alias("ids_crc32"), first("scores").alias("best_score"), "scores", F.forall("decoded", lambda x: x == source).alias("restored"), F.col("d.n_pieces").alias("n_best_pieces"), F.col("d.ids_crc32").alias("n_best_crc32"))
+    return rows.select("doc_id", first("n_pieces").alias("n_pieces"), first("ids_crc32").alias("ids_crc32"), first("scores").alias("best_score"), "scores", "restored", F.col("n_pieces").alias("n_best_pieces"), F.col("ids_crc32").alias("n_best_crc32"))
 
 
 def op3_hamming_topk(spark, sf_dir):

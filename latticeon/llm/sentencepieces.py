@@ -13,7 +13,8 @@ merge carries which occurrence takes which alternative, so each hypothesis has i
 
 Scores: those of a unigram model; of a merge-based model, which only ranks its pieces,
 ``-ln(2 + rank)``. Segments are remembered in a bounded cache. Null text: empty, no pieces,
-one hypothesis of score 0.
+one hypothesis of score 0. Repeated rows are segmented each; an empty table gives no rows. U+2581 in a text
+is read as a blank, which decoding gives back.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ BLANK = "▁"
 
 
 class PieceModel:
-    def __init__(self, path: str, n: int = N_BEST, merge_ranks: bool = True, cache: int = 500_000):
+    def __init__(self, path: str, n: int = N_BEST, merge_ranks: bool = True, cache: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -278,6 +279,26 @@ def decode_column(path: str, ids: str = "ids") -> Column:
     return decode(F.col(ids))
 
 
+def nbest_digest_column(path: str, n: int = N_BEST, text: str = "text") -> Column:
+    """Struct of scores, n_pieces and ids_crc32 of a text's n best segmentations (ids as little-endian 32-bit words), and
+    restored: whether each decodes to the text itself. The same as digest_column and
+    decode_column of nbest_column, without the ids' way through the JVM."""
+
+    @F.arrow_udf("struct<scores:array<double>,n_pieces:array<long>,ids_crc32:array<long>,restored:boolean>")
+    def digest(t: pa.Array) -> pa.Array:
+        m = model(path, n)
+        cols: tuple = ([], [], [], [])
+        for x in t:
+            s = x.as_py()
+            scores, ids = m.encode_all(s)
+            for c, v in zip(cols, (scores, [len(i) // 4 for i in ids], [zlib.crc32(i) for i in ids], all([m.decode(memoryview(i).cast("I")) == s for i in ids]))):
+                c.append(v)
+        kinds = (pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["scores", "n_pieces", "ids_crc32", "restored"])
+
+    return digest(to_text(text))
+
+
 def digest_column(ids: str = "ids") -> Column:
     """Of each segmentation the number of ids and the crc32 of the ids as little-endian 32-bit words."""
 
