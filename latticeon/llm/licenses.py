@@ -8,12 +8,15 @@ expression after it is taken from the original text and evaluated by a
 shunting-yard parser: ``AND`` requires all operands, ``OR`` any, ``WITH`` adds an
 exception to one licence and binds tightest; parentheses group.
 
-Null and empty texts have no words, no labels and score 0.
+Null and empty texts have no words, no labels and score 0. Repeated rows give equal rows, an
+empty table none. Time is linear in a text's length.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
+from itertools import product
 
 import ahocorasick
 import pyarrow as pa
@@ -57,64 +60,111 @@ _IDENT = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+_:-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
-def evaluate(expression: str) -> tuple[frozenset[str], list[frozenset[str]]] | None:
-    """Shunting-yard evaluation: (all identifiers, the alternatives as sets that hold together).
+@dataclass(eq=False)
+class Node:
+    """A licence, or an operator (``and``, ``or``) over nodes."""
+
+    name: str
+    kids: list = field(default_factory=list)
+
+    def leaves(self) -> list[Node]:
+        out, todo = [], [self]
+        while todo:
+            n = todo.pop()
+            todo += reversed(n.kids)
+            if not n.kids:
+                out.append(n)
+        return out
+
+    def __iter__(self):
+        """The alternatives, one by one, as sets that hold together; their number may be exponential."""
+        if not self.kids:
+            yield frozenset([self.name])
+        elif self.name == "or":
+            for k in self.kids:
+                yield from k
+        else:
+            for some in product(*self.kids):
+                yield frozenset().union(*some)
+
+    def __str__(self) -> str:
+        """Every operand once, in the order of the text; an ``or`` within an ``and`` in parentheses."""
+        done: dict[int, str] = {}
+        todo = [self]
+        while todo:
+            n = todo[-1]
+            missing = [k for k in n.kids if id(k) not in done]
+            if missing:
+                todo += missing
+                continue
+            todo.pop()
+            parts = dict.fromkeys(f"({done[id(k)]})" if n.name == "and" and k.name == "or" and k.kids and " or " in done[id(k)] else done[id(k)] for k in n.kids)
+            done[id(n)] = f" {n.name} ".join(parts) if n.kids else n.name
+        return done[id(self)]
+
+
+def _join(op: str, a: Node, b: Node) -> Node:
+    if op == "with":
+        exception = str(b)
+        for n in a.leaves():
+            n.name += f" with {exception}"
+        return a
+    if a.name == op and a.kids:
+        a.kids += b.kids if b.name == op and b.kids else [b]
+        return a
+    return Node(op, [a, *(b.kids if b.name == op and b.kids else [b])])
+
+
+def evaluate(expression: str) -> tuple[frozenset[str], Node] | None:
+    """Shunting-yard evaluation: all licences, and the tree that says which hold together.
 
     The longest valid prefix is taken, so a comment's end or prose after the
-    expression does no harm. None if no identifier begins the expression. More
-    than 64 alternatives are merged into one set of all identifiers.
+    expression does no harm. None if no identifier begins the expression. ``WITH`` after a
+    bracket adds its exception to each licence inside.
     """
-    output: list[list[frozenset[str]]] = []
-    stack: list[str] = []
-    best = None
-    need = True
-
-    def apply(op: str, out) -> None:
-        b, a = out.pop(), out.pop()
-        if op == "or":
-            got = a + [x for x in b if x not in a]
-        elif op == "with":
-            name = "+".join(sorted(a[0])) + " with " + "+".join(sorted(b[0]))
-            got = [frozenset([name])]
-        else:
-            got = list(dict.fromkeys(x | y for x in a for y in b))
-        out.append(got if len(got) <= 64 else [frozenset().union(*got)])
-
-    def finished():
-        if "(" in stack:
-            return best
-        out = list(output)
-        for op in reversed(stack):
-            apply(op, out)
-        return out[0] if len(out) == 1 else best
-
+    taken: list[str] = []
+    depth, whole, need = 0, 0, True
     for m in _TOKEN.finditer(expression):
         t = m[0]
         low = t.lower()
-        if need:
-            if t == "(":
-                stack.append(t)
-            elif low not in _PRECEDENCE and _IDENT.fullmatch(t):
-                output.append([frozenset([low.rstrip(".:")])])
-                need = False
-                best = finished()
-            else:
-                break
-        elif low in _PRECEDENCE:
-            while stack and stack[-1] != "(" and _PRECEDENCE[stack[-1]] >= _PRECEDENCE[low]:
-                apply(stack.pop(), output)
-            stack.append(low)
+        if need and t == "(":
+            depth += 1
+        elif need and low not in _PRECEDENCE and _IDENT.fullmatch(t):
+            need = False
+        elif not need and low in _PRECEDENCE:
             need = True
-        elif t == ")" and "(" in stack:
-            while stack[-1] != "(":
-                apply(stack.pop(), output)
-            stack.pop()
-            best = finished()
+        elif not need and t == ")" and depth:
+            depth -= 1
         else:
             break
-    if best is None:
+        taken.append(low)
+        if not need and not depth:
+            whole = len(taken)
+    if not whole:
         return None
-    return frozenset().union(*best), best
+    output: list[Node] = []
+    stack: list[str] = []
+
+    def apply() -> None:
+        b, a = output.pop(), output.pop()
+        output.append(_join(stack.pop(), a, b))
+
+    for t in taken[:whole]:
+        if t == "(":
+            stack.append(t)
+        elif t == ")":
+            while stack[-1] != "(":
+                apply()
+            stack.pop()
+        elif t in _PRECEDENCE:
+            while stack and stack[-1] != "(" and _PRECEDENCE[stack[-1]] >= _PRECEDENCE[t]:
+                apply()
+            stack.append(t)
+        else:
+            output.append(Node(t.rstrip(".:")))
+    while stack:
+        apply()
+    return frozenset([n.name for n in output[0].leaves()]), output[0]
 
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -140,9 +190,11 @@ def scan_text(text: str, automaton=None) -> dict:
     words = [w for w in words if w]
     joined = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
     n_base, first, last, base, labels, unsure, tag = 0, None, None, set(), set(), 1.0, False
+    blanks = until = 0  # of the joined words before where the last hit ended
     for end, phrase in automaton.iter(joined):
         if phrase in BASE:
-            at = joined.count(" ", 0, end - len(phrase) - 1)  # the phrase's place, counted in words
+            blanks, until = blanks + joined.count(" ", until, end), end
+            at = blanks - phrase.count(" ") - 1  # the phrase's place, counted in words
             n_base += 1
             first = at if first is None else min(first, at)
             last = at if last is None else max(last, at)
@@ -155,15 +207,15 @@ def scan_text(text: str, automaton=None) -> dict:
             label, sure = NOTICES[phrase]
             labels.add(label)
             unsure = min(unsure, 1 - sure)
-    expression = None
+    found: list[str] = []
     if tag:
         for m in _TAG_RE.finditer(text):
             got = evaluate(m[1])
             if got:
                 labels |= got[0]
                 unsure = 0.0
-                alternatives = " or ".join(" and ".join(sorted(x)) for x in got[1])
-                expression = alternatives if expression is None else f"{expression}; {alternatives}"
+                found.append(str(got[1]))
+    expression = "; ".join(found) if found else None
     return {"n_words": len(words), "n_base": n_base, "first_word": first, "last_word": last, "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": 1 - unsure if labels else 0.0, "expression": expression}
 
 
