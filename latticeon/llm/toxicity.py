@@ -14,10 +14,10 @@ labelled documents kept out of the counts maps it to a score. Words of over 64 l
 are taken in pieces of 64, in training and in scoring.
 
 Training reads a bounded sample: at most ``per_class`` labelled rows a class, those with the smallest
-hash of their id, three quarters for counts, the rest for calibration. The model
-keeps at most ``max_grams`` n-grams, the most frequent ones. Scoring covers every
-word of every text in one pass without a shuffle; the model, of bounded
-size, travels with the function.
+hash of their id, three quarters for counts, the rest for calibration. Every n-gram of the
+sample is kept: singletons carry the discounts and continuation counts. Scoring covers every
+word of every text in one pass without a shuffle; the model, as large as its bounded
+sample makes it, travels with the function.
 
 Null and empty texts have no evidence and get the calibrated score of that. Without
 usable labels of both classes the score is 0 everywhere.
@@ -131,7 +131,7 @@ class Scorer:
 
     def __init__(self, model: KneserNey, weights=None):
         self.model, self.weights = model, weights
-        self.cache = BoundedCache(model.ratio, 400_000)
+        self.cache = BoundedCache(model.ratio, 300_000)
 
     def __getstate__(self):
         return {"model": self.model, "weights": self.weights}
@@ -170,8 +170,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return mean, scale, w
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 6000, max_grams: int = 250_000, order: int = ORDER) -> Scorer:
-    """labels: the rows one may learn from. Of an id with several labels the largest counts."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 6000, order: int = ORDER) -> Scorer:
+    """labels: the rows one may learn from. Of an id with several labels the largest counts, of an id with several rows any one."""
     tune(docs.sparkSession)
     own = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
     hashed = own.withColumn("__h", F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 30)))
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return Scorer(KneserNey({}), None)
     sample = hashed.filter("__y = 0").orderBy("__h", "__id").limit(per_class).unionByName(hashed.filter("__y = 1").orderBy("__h", "__id").limit(per_class))
     # At most 2 * per_class ids: a bounded broadcast.
-    chosen = docs.select(F.col(doc_id).alias("__id"), to_text(text).alias("__t")).join(F.broadcast(sample), "__id")
+    chosen = docs.select(F.col(doc_id).alias("__id"), to_text(text).alias("__t")).join(F.broadcast(sample), "__id").dropDuplicates(["__id"])
 
     def count(batches):
         for b in batches:
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     part = F.col("__h") % 4
     grams = chosen.filter(part != 0).select("__t", "__y").mapInArrow(count, "g string, c0 long, c1 long")
-    grams = grams.groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).orderBy(F.desc(F.col("c0") + F.col("c1")), "g").limit(max_grams)
+    grams = grams.groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     table = grams.toPandas()
     model = KneserNey(dict(zip(table["g"], zip(table["c0"].tolist(), table["c1"].tolist()))), order)
     scorer = Scorer(model)
