@@ -13,6 +13,7 @@ distinct window hashes first; only texts that have one sort their windows.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,19 +31,29 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Threshold:
-    """A text passes if low <= value <= high; value is SQL over the counts, times 100 where it is a ratio."""
+    """A text passes if low <= value <= high; value is SQL over the counts, times 100 where it is a ratio.
+
+    A rule is about texts of at least ``words`` words; shorter ones, where the ratio says little, pass it.
+    """
 
     name: str
     value: str
     low: float | None = None
     high: float | None = None
+    words: int = 0
+
+    def sql(self) -> str:
+        """Whether a text passes, as SQL over the counts."""
+        parts = [f"coalesce({self.value} {op} {bound}, false)" for op, bound in ((">=", self.low), ("<=", self.high)) if bound is not None]
+        passed = " AND ".join(parts) or "true"
+        return f"(n_words < {self.words} OR {passed})" if self.words else f"({passed})"
 
 
 RULES: tuple[Threshold, ...] = (
     Threshold("mean_word_length", "100.0 * word_chars / nullif(n_words, 0)", 150, 1500),
     Threshold("symbol_ratio", "100.0 * n_symbols / nullif(n_words, 0)", None, 30),
     Threshold("symbol_density", "100.0 * n_symbols / nullif(word_chars, 0)", None, 10),
-    Threshold("stop_words", "CASE WHEN n_words < 40 THEN 100 ELSE 100.0 * n_stop / nullif(n_words, 0) END", 1, None),
+    Threshold("stop_words", "100.0 * n_stop / nullif(n_words, 0)", 1, None, words=40),
     Threshold("duplicate_lines", "100.0 * n_dup_lines / nullif(n_lines, 0)", None, 50),
     Threshold("shouting_words", "100.0 * n_bang / nullif(n_words, 0)", None, 30),
 )
@@ -100,14 +111,7 @@ def counts(text: str = "text") -> Column:
 
 def verdict(rules=RULES) -> Column:
     """True if every rule of the table passes; for a row with the counts as columns."""
-    ok = F.lit(True)
-    for r in rules:
-        v = F.expr(r.value)
-        if r.low is not None:
-            ok = ok & F.coalesce(v >= r.low, F.lit(False))
-        if r.high is not None:
-            ok = ok & F.coalesce(v <= r.high, F.lit(False))
-    return ok
+    return F.expr(" AND ".join(r.sql() for r in rules) or "true")
 
 
 BASE_FAILED = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
@@ -122,19 +126,14 @@ def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The rows of docs, all columns, whose text passes."""
+    """The rows of docs, all columns, whose text passes: null and empty texts go, repeated rows are judged alike."""
     name = "__quality"
-    while name in docs.columns:
+    while any(c.startswith(name) for c in docs.columns):
         name += "_"
     c = F.col(name)
-    flat = F.struct(c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"), c["lines"]["n_dup_lines"].alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"), c["lines"]["n_lines"].alias("n_lines"), c["n_stop"].alias("n_stop"), c["n_bang"].alias("n_bang"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_bang")
-
-    def bound(sql: str) -> str:
-        import re
-
-        return re.sub(r"\b(" + "|".join(names) + r")\b", rf"{name}_f.\1", sql)
-
-    own = tuple(Threshold(r.name, bound(r.value), r.low, r.high) for r in rules)
-    d = docs.withColumn(name, counts(text)).withColumn(name + "_f", flat)
-    return d.filter(~F.expr(bound(BASE_FAILED)) & verdict(own)).drop(name, name + "_f")
+    fields = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_stop", "n_bang")
+    flat = F.struct(*[c[n].alias(n) for n in fields], *[c["lines"][n].alias(n) for n in ("n_dup_lines", "n_lines")])
+    own = re.compile(r"\b(n_dup_lines|n_lines|" + "|".join(fields) + r")\b")
+    bound = " AND ".join([f"NOT {BASE_FAILED}", *[r.sql() for r in rules]])
+    d = docs.withColumn(name, counts(text)).withColumn(name + "f", flat)
+    return d.filter(F.expr(own.sub(rf"{name}f.\1", bound))).drop(name, name + "f")

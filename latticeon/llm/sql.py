@@ -29,12 +29,6 @@ SELECT query_id, rank, found_id, distance FROM (SELECT *, row_number() OVER (PAR
 
 def _quality() -> str:
     stop = ", ".join("'" + v + "'" for v in sorted({v for w in STOP_WORDS for v in (w, w.capitalize())}))
-    rules = []
-    for r in RULES:
-        if r.low is not None:
-            rules.append(f"coalesce({r.value} >= {r.low}, false)")
-        if r.high is not None:
-            rules.append(f"coalesce({r.value} <= {r.high}, false)")
     return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 v AS (SELECT n, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS k FROM (SELECT n, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW})),
@@ -42,7 +36,7 @@ r AS (SELECT n, i, count(*) OVER (PARTITION BY n, k) AS c FROM v),
 c AS (SELECT n, count(DISTINCT i + j) AS n_repeat_words FROM r, range(0, {WINDOW}) t(j) WHERE c > 1 GROUP BY n),
 a AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[{SYMBOLS}]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines, len(list_filter(ws, lambda x: x IN ({stop})))::BIGINT AS n_stop, len(regexp_extract_all(t, '!!'))::BIGINT AS n_bang FROM w LEFT JOIN c USING (n)),
 b AS (SELECT *, {BASE_FAILED} AS base_failed FROM a)
-SELECT *, NOT base_failed AND {' AND '.join(rules)} AS kept FROM b"""
+SELECT *, NOT base_failed AND {' AND '.join(r.sql() for r in RULES)} AS kept FROM b"""
 
 
 def _near_duplicates() -> str:
