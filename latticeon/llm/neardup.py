@@ -13,17 +13,23 @@ No group is expanded into pairs:
    confirms the most similar such centre; confirmed links are merged into components;
 2. buckets that still hold several components are cut into blocks; block pairs compare
    signatures across components, and only pairs that may reach the threshold are
-   confirmed on full sets.
+   confirmed on full sets. A bucket of over 4096 nodes (a passage that many documents share) is first split
+   into buckets of two, then three bands, which go through step 1 again.
 
 Pairs within a component add nothing to it, so the components are those of all links
 between candidates. A pair at the threshold shares a band with probability
-1 - (1 - 0.75^4)^32 = 0.999995.
+1 - (1 - 0.75^4)^32 = 0.999995, and one that meets in a large bucket shares a further one with 0.99999. Buckets
+of three bands are compared whole, whatever their size.
 
 Hot copy groups are merged by partial aggregation and mapped back by a broadcast of
 at most 1000 groups. Intermediate tables are kept in the shared folder.
 
 Null, empty and blank texts have an empty set and are linked with nothing. Rows with a null id are linked with
-nothing and kept (component null). Rows with the same id are one document for linking.
+nothing and kept (component null). Rows with the same id are one document for linking: the links of any of its texts are its own.
+Equal rows are one node. An empty table gives no rows.
+
+Joins on a hot bucket, centre or group have one row of that key on their other side, so that adaptive execution may split
+them; no group is ever collected but in blocks.
 """
 
 from __future__ import annotations
@@ -42,6 +48,8 @@ THRESHOLD = 75
 #: An estimate so far below the threshold (4.5 standard errors) is never of a linked pair.
 LEAST_ESTIMATE = 0.54
 BLOCK = 256
+#: Buckets of more nodes are split by a second and third band before nodes are compared with each other.
+LARGE, DEPTH = 4096, 3
 HOT_GROUPS = 1000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -50,7 +58,7 @@ _A = _RNG.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32) | np.uint32
 _B = _RNG.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32)
 _P = _RNG.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-_HASHES = BoundedCache(xxhash.xxh3_64_intdigest, 400_000)
+_HASHES = BoundedCache(xxhash.xxh3_64_intdigest, 300_000)
 keeps("neardup", _HASHES.clear)
 
 
@@ -229,7 +237,26 @@ def _compare_blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _star(level: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, id) that share a bucket, and each node's most similar centre of one."""
+    buckets = level.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("size")).filter("size > 1").select("key", "centre")
+    shared = materialise(level.join(buckets, "key").select("key", "id", "centre"))
+    star = shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    side = lambda n: nodes.select(F.col("id").alias(n), F.col("n").alias("n" + n), F.col("sig").alias("sig" + n))
+    star = star.join(side("b"), "b").join(side("a"), "a").withColumn("equal", _equal_fields("siga", "sigb")).filter((F.col("equal") >= least_matches()) & _size_ok())
+    best = star.groupBy("b").agg(F.max(F.struct("equal", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
+    return shared.select("key", "id"), materialise(best)
+
+
+def _block_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows (key, id, c, size) -> pairs of different components c whose signatures may be of linked sets."""
+    rows = rows.join(nodes, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)))
+    blocks = materialise(rows.groupBy("key", "block").agg(F.collect_list(F.struct("id", "c", "n", "sig")).alias("m")))
+    left, right = blocks.select("key", F.col("block").alias("i"), F.col("m").alias("x")), blocks.select("key", F.col("block").alias("j"), F.col("m").alias("y"))
+    return left.join(right, "key").filter("i <= j").select("x", "y").mapInArrow(_compare_blocks, _BLOCK_PAIRS).distinct()
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", large: int = LARGE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each input row. Ids must be integers."""
     tune(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), sketch_column(text).alias("s"))
@@ -239,40 +266,68 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     groups = some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     groups = materialise(groups)
     nodes = groups.select(F.col("rep").alias("id"), "n", "sig")
-    members = groups.select(F.posexplode("bands").alias("band", "key"), F.col("rep").alias("id")).select("key", "id")
-
-    # Step 1: members against the smallest node of their bucket.
-    buckets = members.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("size")).filter("size > 1").select("key", "centre")
-    shared = materialise(members.join(buckets, "key").select("key", "id", "centre"))
-    star = shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    side = lambda n: nodes.select(F.col("id").alias(n), F.col("n").alias("n" + n), F.col("sig").alias("sig" + n))
-    star = star.join(side("b"), "b").join(side("a"), "a").withColumn("equal", _equal_fields("siga", "sigb")).filter((F.col("equal") >= least_matches()) & _size_ok())
-    best = star.groupBy("b").agg(F.max(F.struct("equal", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
-    links = materialise(_verify(materialise(best), docs, doc_id, text))
-    first = connected_components(links)
-
-    # Step 2: buckets that still hold several components.
-    labelled = shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rows = labelled.join(mixed, "key").join(nodes, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    blocks = materialise(rows.groupBy("key", "block").agg(F.collect_list(F.struct("id", "c", "n", "sig")).alias("m")))
-    left, right = blocks.select("key", F.col("block").alias("i"), F.col("m").alias("x")), blocks.select("key", F.col("block").alias("j"), F.col("m").alias("y"))
-    pairs = left.join(right, "key").filter("i <= j").select("x", "y").mapInArrow(_compare_blocks, _BLOCK_PAIRS).distinct()
-    more = materialise(_verify(materialise(pairs), docs, doc_id, text))
+    bands = groups.select(F.col("rep").alias("id"), "bands")
+
+    # Ids whose rows differ in their sets: the groups of such an id belong together.
+    several = sketches.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("rows"), F.count("fp").alias("full"))
+    several = materialise(several.filter("full > 0 AND (lo <> hi OR full < rows)").select("doc_id"))
+    links = some.join(several, "doc_id", "left_semi").select("doc_id", "fp").distinct().join(groups.select("fp", "rep"), "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+
+    level = bands.select(F.explode("bands").alias("key"), "id")
+    pairs = None
+    for depth in range(DEPTH):
+        # Members against the smallest node of their bucket.
+        shared, best = _star(level, nodes)
+        links = materialise(links.union(_verify(best, docs, doc_id, text)))
+        known = connected_components(links)
+        # Buckets that still hold several components: small ones are compared whole, large ones split by a further band.
+        labelled = shared.join(known.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
+        mixed = materialise(mixed)
+        small = mixed.filter(F.col("size") <= large) if depth < DEPTH - 1 else mixed
+        found = _block_pairs(labelled.join(small, "key"), nodes)
+        pairs = found if pairs is None else pairs.union(found)
+        if depth == DEPTH - 1 or mixed.filter(F.col("size") > large).isEmpty():
+            break
+        hot = labelled.join(mixed.filter(F.col("size") > large).select("key"), "key", "left_semi").select("key", "id").join(bands, "id")
+        hot = hot.select("id", "key", F.explode("bands").alias("other")).filter("key <> other")
+        level = materialise(hot.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct())
+    more = _verify(materialise(pairs.distinct()), docs, doc_id, text)
     whole = materialise(connected_components(links.union(more)))
 
     final = groups.select("fp", "rep", "copies").join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "copies", F.coalesce("component", "rep").alias("component"))
     total = sketches.count()
     hot = final.filter(F.col("copies") > max(10_000, total // HOT_GROUPS)).select("fp", F.col("component").alias("hot"))  # fewer than HOT_GROUPS rows
     rows = sketches.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(F.broadcast(hot), "fp", "left")
-    known = rows.filter("hot IS NOT NULL OR fp IS NULL").select("doc_id", "n", F.coalesce("hot", "doc_id").alias("component"))
-    rest = rows.filter("hot IS NULL AND fp IS NOT NULL").join(final.select("fp", "component"), "fp").select("doc_id", "n", "component")
-    out = known.unionByName(rest)
-    # Rows that share an id share its component.
+    # Rows without a set have the component of their id's other rows, if there are any.
+    of_id = several.join(whole, several["doc_id"] == whole["node"]).select("doc_id", "component")
+    bare = rows.filter("fp IS NULL").join(of_id, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    known = rows.filter("fp IS NOT NULL AND hot IS NOT NULL").select("doc_id", "n", F.col("hot").alias("component"))
+    rest = rows.filter("fp IS NOT NULL AND hot IS NULL").join(final.select("fp", "component"), "fp").select("doc_id", "n", "component")
+    out = bare.unionByName(known).unionByName(rest)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are the smallest id of their component; rows with a null id stay."""
-    gone = near_duplicates(docs, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    """The rows of docs, all columns, of which one of each group of near duplicates stays: that with the smallest id.
+
+    Rows with a null id and rows without words stay. Rows are told apart even where ids
+    repeat: of rows that share an id and are no near duplicates each stays, of equal rows one.
+    """
+    n = docs.agg(F.count(doc_id).alias("rows"), F.count_distinct(doc_id).alias("ids")).first()
+    row = doc_id
+    if n["rows"] > n["ids"]:
+        row = _fresh("__row", docs.columns)
+        # Numbered in the order of the ids; the random number spreads a hot id over several partitions.
+        order = docs.withColumn(row, F.rand(17)).repartitionByRange(doc_id, row).sortWithinPartitions(doc_id, row)
+        docs = materialise(order.withColumn(row, F.when(F.col(doc_id).isNotNull(), F.monotonically_increasing_id())))
+    key = _fresh("__gone", docs.columns)
+    gone = near_duplicates(docs, row, text).filter(~F.col("kept")).select(F.col("doc_id").alias(key))
+    out = docs.join(gone, F.col(row) == F.col(key), "left_anti")
+    return out if row == doc_id else out.drop(row)
+
+
+def _fresh(name: str, taken) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name

@@ -88,6 +88,24 @@ def test_expression_to_the_end_of_its_line():
     assert got["expression"] == " or ".join(x.lower() for x in names)
 
 
+def test_many_alternatives_and_exceptions():
+    ids, tree = licenses.evaluate("(MIT OR GPL-2.0) WITH x AND " + " AND ".join(f"(a{i} OR b{i})" for i in range(7)))
+    assert ids == {"mit with x", "gpl-2.0 with x", *[f"{c}{i}" for c in "ab" for i in range(7)]}
+    assert str(tree) == "(mit with x or gpl-2.0 with x) and " + " and ".join(f"(a{i} or b{i})" for i in range(7))
+    assert len(set(tree)) == 2**8
+    deep = "(" * 3000 + "MIT" + " OR b)" * 3000
+    assert licenses.evaluate(deep)[0] == {"mit", "b"} and str(licenses.evaluate(deep)[1]) == "mit or b"
+    assert str(licenses.evaluate("MIT and MIT")[1]) == "mit"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*licenses.NOTICES, *licenses.BASE, "the", "license", "public", "SPDX-License-Identifier: Zlib\n"]), max_size=8).map(" ".join))
+def test_license_labels(text):
+    joined = " " + " ".join(re.findall("[a-z0-9]+", text.lower())) + " "
+    want = {x for p, x in licenses.BASE.items() if f" {p} " in joined} | {x for p, (x, _) in licenses.NOTICES.items() if f" {p} " in joined}
+    assert set(filter(None, licenses.scan_text(text)["labels"].split(","))) == want | ({"zlib"} if "SPDX" in text else set())
+
+
 # ── token counts ──
 TOKEN_TEXT = st.text(alphabet=st.sampled_from(list("abzAB'srtévdlm .,!?-_09\n\t\r  ßÑ中\U0001f600\x1c\x85")), max_size=60) | st.lists(st.sampled_from(["<|endoftext|>", "the ", " world", "  ", "\n\n", "don't", "I'll"]), max_size=8).map("".join)
 
@@ -276,7 +294,46 @@ def test_estimates():
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
 
 
+def test_ids_that_repeat(spark):
+    """One id with several texts joins their groups; of rows each text stays."""
+    A, B = "one two three four five six seven", "eight nine ten eleven twelve"
+    d = spark.createDataFrame([(1, A), (5, A), (5, B), (9, B), (5, ""), (7, "")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(d).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 1, False), (5, 1, False), (7, 7, True), (9, 1, False)]
+    kept = sorted((r["doc_id"], r["text"]) for r in neardup.keep_first(d).collect())
+    assert kept == [(1, A), (5, ""), (5, B), (7, "")]
+    same = spark.createDataFrame([(3, A)] * 4 + [(None, A)] * 2, "doc_id long, text string")
+    assert sorted(map(str, neardup.keep_first(same).select("doc_id").collect())) == ["Row(doc_id=3)", "Row(doc_id=None)", "Row(doc_id=None)"]
+
+
+def test_large_buckets(spark):
+    """Texts that share a passage: buckets are split by further bands and no link is lost."""
+    r = random.Random(6)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for _ in range(40):
+        own = [f"w{r.randrange(10**6)}" for _ in range(14)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-1])]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(d, large=8).collect()}
+    assert got == {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(d).collect()}
+    sets = [set(zip(t.split(), t.split()[1:])) for t in texts]
+    for i in range(80):
+        linked = [j for j in range(80) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+        assert {got[j] for j in linked} == {got[i]}
+    assert len(set(got.values())) == 40
+
+
 # ── Hamming search ──
+def test_vectors_of_any_length(spark):
+    d = spark.createDataFrame([(0, [1.0] * 128), (20, [1.0] * 64 + [-1.0] * 64), (3, [1.0] * 130), (4, None), (5, []), (6, [1.0, None])], "vec_id long, embedding array<double>")
+    got = {(x["query_id"], x["found_id"]): x["distance"] for x in hamming.top_k(d, d.filter("vec_id % 20 = 0"), 9).collect()}
+    assert got == {(q, f): abs(x - y) for q, x in ((0, 128), (20, 64)) for f, y in ((0, 128), (20, 64), (3, 130), (5, 0), (6, 1))}
+    hot = spark.createDataFrame([(i, [1.0, -1.0]) for i in range(50)] * 2 + [(60, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(x["query_id"], x["found_id"], x["distance"]) for x in hamming.top_k(hot, hot.filter("vec_id IN (20, 60)").distinct(), 5).orderBy("query_id", "rank").collect()]
+    assert got == [(q, f, d) for q, d in ((20, 0),) for f in (0, 0, 1, 1, 2)] + [(60, 60, 0), (60, 0, 1), (60, 0, 1), (60, 1, 1), (60, 1, 1)]
+
+
 def test_hamming(spark):
     r = np.random.default_rng(4)
     v = r.normal(size=(400, 64)).astype(np.float32)
@@ -332,14 +389,15 @@ def test_ids_of_all_n(spark):
     m = sentencepieces.model(path)
     score = {i: w for w, i in m.piece.values()}
     texts = ["of the international trade", "aa bb ab", "the the the ß", "", None, "a", " two  blanks ", "中😀x▁y"]
-    rows = sentencepieces.segment(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
-    got = rows.select("*", sentencepieces.decode_column(path).alias("decoded"), sentencepieces.digest_column().alias("d")).orderBy("doc_id").collect()
+    rows = sentencepieces.segment(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, keep=("text",))
+    got = rows.select("*", sentencepieces.decode_column(path).alias("decoded"), sentencepieces.digest_column().alias("d"), sentencepieces.nbest_digest_column(path).alias("one")).orderBy("doc_id").collect()
     for t, r in zip(texts, got):
         t = t or ""
         assert len(r["ids"]) == len(r["scores"]) == len({tuple(x) for x in r["ids"]})
         assert set(r["decoded"]) == {t.replace("▁", " ")} == {m.decode(x) for x in r["ids"]}
         assert np.allclose(r["scores"], [sum(score.get(i, m.byte_score) for i in x) for x in r["ids"]])
         assert r["d"]["n_pieces"] == [len(x) for x in r["ids"]]
+        assert r["one"].asDict() == r["d"].asDict() | {"scores": r["scores"], "restored": "▁" not in t}
         assert r["d"]["ids_crc32"] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in r["ids"]]
         s = m.normalise(t)
         every = [[[]]]
