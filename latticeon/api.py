@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import geo, predicates, text, vector
-from .model import SYSTEM_FIELDS, TYPES, Graph
+from .model import SYSTEM_FIELDS, TYPES, Graph, has_id
 from .operators import changes as C
 from .operators import graph as G
 from .operators import sets
+from .operators.ann import VectorIndex
 from .plans.binder import Binder, Compiler, Scope
 from .plans.errors import QueryError
 from .plans.parser import parse_query
@@ -31,6 +32,7 @@ class DB:
         self.schemas: dict[str, list[dict]] = {}
         self.indexes: list[dict] = []
         self._saved: tuple | None = None
+        self._built: dict[tuple[str, str], tuple] = {}
         if path and (got := store.load(spark, path)):
             self.graph, self.schemas, self.indexes = got
         self.df = Frames(self)
@@ -39,10 +41,11 @@ class DB:
     def _search_fields(self) -> dict[str, list[str]]:
         return {i["on"]: i["fields"] for i in self.indexes if i["using"] == "search"}
 
-    def query(self, sql: str, params=None) -> DataFrame:
+    def query(self, sql: str, params=None, collapse: bool = False) -> DataFrame:
+        """collapse: see Binder."""
         if sql.strip()[:4].upper() == "SHOW":
             return self.show(sql)
-        return Binder(self.graph, self._search_fields()).bind(parse_query(sql, params))
+        return Binder(self.graph, self._search_fields(), collapse).bind(parse_query(sql, params))
 
     def explain(self, sql: str, params=None, analyze: bool = False) -> str:
         df = self.query(sql, params)
@@ -70,11 +73,7 @@ class DB:
         return NodeSet(self, self._at(list(slugs)).join(F.broadcast(order), "_id").orderBy("__i").drop("__i"))
 
     def _at(self, slugs: list[str]) -> DataFrame:
-        """Only the collections that the slugs name are read, if all name one."""
-        names = {s.split("/")[0] for s in slugs}
-        found = names & set(self.graph.collections)
-        g = Graph(self.spark, {n: self.graph.collections[n] for n in found}, self.graph.edges) if found == names and names else self.graph
-        return g.all().filter(F.col("_id").isin(slugs))
+        return self.graph.at(list(slugs))
 
     def get(self, slug: str) -> dict | None:
         r = self._at([slug]).first()
@@ -102,7 +101,36 @@ class DB:
         return df.filter("score > 0").orderBy(F.desc("score"), "_id").limit(k).select("_id", "score")
 
     def ilike(self, collection: str, field: str, pattern: str) -> DataFrame:
-        return text.trigram_candidates(self.graph.collection(collection), field, pattern)
+        """By a trigram index (gin or gist) where one is declared, otherwise by a scan."""
+        df = self.graph.collection(collection)
+        if not self._indexed(collection, field, ("gin", "gist")):
+            return text.trigram_candidates(df, field, pattern)
+        index = self._derived(collection, field, lambda: text.trigram_index(df, field))
+        return text.verify_ilike(df, field, pattern, text.index_candidates(index, pattern))
+
+    def text_index_candidates(self, collection: str, field: str, pattern: str) -> DataFrame:
+        """_id of the rows that may match, by trigrams alone."""
+        df = self.graph.collection(collection)
+        found = text.index_candidates(self._derived(collection, field, lambda: text.trigram_index(df, field)), pattern)
+        return df.select("_id") if found is None else found
+
+    def vector_search(self, collection: str, field: str, q, k: int, probes: int | None = None) -> DataFrame:
+        """Approximate where an index (hnsw) is declared: built from the collection as it is now; otherwise exact."""
+        df = self.graph.collection(collection)
+        if not self._indexed(collection, field, ("hnsw",)):
+            return vector.near(df, field, q, k, "_id")
+        return self._derived(collection, field, lambda: VectorIndex(df, field)).search(q, k, probes)
+
+    def _indexed(self, collection: str, field: str, kinds) -> bool:
+        return any(i["on"] == collection and i["using"] in kinds and field in i["fields"] for i in self.indexes)
+
+    def _derived(self, collection: str, field: str, build):
+        """Of the collection as it is: a change makes another, whose index is built anew."""
+        df = self.graph.collection(collection)
+        got = self._built.get((collection, field))
+        if got is None or got[0] is not df:
+            got = self._built[collection, field] = (df, build())
+        return got[1]
 
     def edges_from(self, slug: str) -> DataFrame:
         return G.edges_from(self.graph, slug)
@@ -439,9 +467,11 @@ class NodeSet:
         return F.col(f"`{field}`") if field in self.frame.columns else F.lit(None)
 
     def _cmp(self, field, op, v):
-        return self._with(self.frame.filter(predicates.compare(self._col(field), op, v, self._type(field))))
+        return self._with(self.frame.filter(predicates.compare(self._col(field), op, v, self._type(field), bare=True)))
 
     def where_eq(self, field, v):
+        if field in ("_id", "_key") and isinstance(v, str):
+            return self._with(self.frame.filter(has_id(self.frame, [v], field)))
         return self._cmp(field, "=", v)
 
     def where_neq(self, field, v):
@@ -460,10 +490,10 @@ class NodeSet:
         return self._cmp(field, "<=", v)
 
     def where_between(self, field, low, high):
-        return self._with(self.frame.filter(predicates.between(self._col(field), low, high, self._type(field))))
+        return self._with(self.frame.filter(predicates.between(self._col(field), low, high, self._type(field), bare=True)))
 
     def where_in(self, field, values):
-        return self._with(self.frame.filter(predicates.is_in(self._col(field), list(values), self._type(field))))
+        return self._with(self.frame.filter(predicates.is_in(self._col(field), list(values), self._type(field), bare=True)))
 
     def where_contains(self, field, values):
         return self._with(self.frame.filter(predicates.array_contains_all(self._col(field), list(values))))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
@@ -82,13 +82,14 @@ def in_literal_ring(lon: Column, lat: Column, ring) -> Column:
     return reduce(lambda a, b: a + b, hits) % 2 == 1 if hits else F.lit(False)
 
 
-def _in_ring(lon: float, lat: float, ring: Column) -> Column:
-    """The same for a literal point and a ring column."""
+def _in_ring(lon, lat, ring: Column) -> Column:
+    """The same for a point (numbers or columns) and a ring column."""
+    lon, lat = (x if isinstance(x, Column) else F.lit(x) for x in (lon, lat))
 
     def cross(i: Column) -> Column:
         p, q = F.get(ring, i), F.get(ring, F.when(i == 0, F.size(ring) - 1).otherwise(i - 1))
         dy = F.when(q[1] == p[1], F.lit(None)).otherwise(q[1] - p[1])
-        return F.coalesce(((p[1] > lat) != (q[1] > lat)) & (F.lit(lon) < (q[0] - p[0]) * (F.lit(lat) - p[1]) / dy + p[0]), F.lit(False))
+        return F.coalesce(((p[1] > lat) != (q[1] > lat)) & (lon < (q[0] - p[0]) * (lat - p[1]) / dy + p[0]), F.lit(False))
 
     count = F.size(F.filter(F.sequence(F.lit(0), F.size(ring) - 1), cross))
     return F.when(F.size(ring) >= 3, count % 2 == 1).otherwise(False)
@@ -180,3 +181,25 @@ def cell(g: Column, degrees: float) -> tuple[Column, Column]:
     number = "decimal(20,12)"
     index = lambda x: F.floor(x.try_cast(number) / F.lit(degrees).cast(number)).cast("long")
     return index(c["lat"]).alias("cell_lat"), index(c["lon"]).alias("cell_lon")
+
+
+def join_containing(points: DataFrame, areas: DataFrame, point: str = "geometry", area: str = "geometry", degrees: float = 0.01) -> DataFrame:
+    """Pairs of a row of points (as struct p) and a row of areas (struct a) that contains its centroid.
+
+    A join on grid cells, not a product. Each area goes to the level (of cells of degrees * 2^level) at which
+    it spans at most two cells a side, so it has at most four; a point is looked up at each level. Pairs of a cell are
+    then tested exactly. Levels are at most 20 or so: they double up to the circumference.
+    """
+    corner = lambda axis, f: f(F.transform(vertices(F.col(area)), lambda v: v[axis]))
+    box = areas.filter(is_area(F.col(area))).select(F.struct("*").alias("a"), *[corner(i, f).alias(n) for n, i, f in (("x0", 0, F.array_min), ("x1", 0, F.array_max), ("y0", 1, F.array_min), ("y1", 1, F.array_max))])
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(degrees))
+    box = box.filter("x0 IS NOT NULL").withColumn("level", F.ceil(F.log2(extent / degrees)).cast("int"))
+    width = F.lit(degrees) * F.pow(F.lit(2.0), F.col("level"))
+    index = lambda c: F.floor(c / width).cast("long")
+    box = box.withColumn("cx", F.explode(F.sequence(index(F.col("x0")), index(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(index(F.col("y0")), index(F.col("y1")))))
+    top = 1 + int(360 / degrees).bit_length()
+    c = centroid(F.col(point))
+    at = points.select(F.struct("*").alias("p"), c["lon"].alias("x"), c["lat"].alias("y")).filter("x IS NOT NULL")
+    at = at.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("cx", index(F.col("x"))).withColumn("cy", index(F.col("y")))
+    near = at.join(box.select("a", "level", "cx", "cy", "x0", "x1", "y0", "y1"), ["level", "cx", "cy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+    return near.filter(F.exists(parts(F.col("a")[area]), lambda r: _in_ring(F.col("x"), F.col("y"), r))).select("p", "a")

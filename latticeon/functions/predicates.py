@@ -2,6 +2,9 @@
 
 Literals compare by kind: numbers with numbers, strings with strings; a number
 never equals a string. Order comparisons hold for numbers only.
+
+``bare=True`` leaves out what makes a missing value false: a filter drops such a row in any case,
+and only a bare comparison reaches the scan or becomes the key of a join.
 """
 
 from __future__ import annotations
@@ -34,35 +37,52 @@ def matches_kind(dtype: T.DataType | None, v) -> bool:
     return True
 
 
-def equal(c: Column, v, dtype: T.DataType | None = None) -> Column:
+def _made(c: Column, bare: bool) -> Column:
+    return c if bare else sure(c)
+
+
+def equal(c: Column, v, dtype: T.DataType | None = None, bare: bool = False) -> Column:
     if v is None:
         return c.isNull()
-    return sure(c == F.lit(v)) if matches_kind(dtype, v) else F.lit(False)
+    return _made(c == F.lit(v), bare) if matches_kind(dtype, v) else F.lit(False)
+
+
+def differs(c: Column, v, dtype: T.DataType | None = None) -> Column:
+    if v is None:
+        return c.isNotNull()
+    return c.isNull() | (c != F.lit(v)) if matches_kind(dtype, v) else F.lit(True)
 
 
-def compare(c: Column, op: str, v, dtype: T.DataType | None = None) -> Column:
+def compare(c: Column, op: str, v, dtype: T.DataType | None = None, bare: bool = False) -> Column:
     """op: one of = != < <= > >=."""
     if op == "=":
-        return equal(c, v, dtype)
+        return equal(c, v, dtype, bare)
     if op in ("!=", "<>"):
-        return ~equal(c, v, dtype)
+        return differs(c, v, dtype)
     if not is_number(v) or (dtype is not None and not isinstance(dtype, T.NumericType)):
         if not (isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)) and isinstance(v, str)):
             return F.lit(False)
     right = F.lit(v)
-    return sure({"<": c < right, "<=": c <= right, ">": c > right, ">=": c >= right}[op])
+    return _made({"<": c < right, "<=": c <= right, ">": c > right, ">=": c >= right}[op], bare)
 
 
-def between(c: Column, low, high, dtype=None) -> Column:
-    return compare(c, ">=", low, dtype) & compare(c, "<=", high, dtype)
+def between(c: Column, low, high, dtype=None, bare: bool = False) -> Column:
+    return compare(c, ">=", low, dtype, bare) & compare(c, "<=", high, dtype, bare)
 
 
-def is_in(c: Column, values, dtype=None) -> Column:
+def is_in(c: Column, values, dtype=None, bare: bool = False) -> Column:
     fit = [v for v in values if v is not None and matches_kind(dtype, v)]
-    got = sure(c.isin(*fit)) if fit else F.lit(False)
+    got = _made(c.isin(*fit), bare) if fit else F.lit(False)
     return got | c.isNull() if None in values else got
 
 
+def not_in(c: Column, values, dtype=None) -> Column:
+    fit = [v for v in values if v is not None and matches_kind(dtype, v)]
+    if None in values:
+        return c.isNotNull() & ~c.isin(*fit) if fit else c.isNotNull()
+    return c.isNull() | ~c.isin(*fit) if fit else F.lit(True)
+
+
 def array_contains_all(c: Column, values) -> Column:
     return sure(F.size(F.array_except(F.array(*[F.lit(v) for v in values]), c)) == 0)
 

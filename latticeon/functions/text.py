@@ -77,13 +77,19 @@ def with_search(df: DataFrame, fields: list[str], query: str, name: str, key: st
         return df.withColumn(name, F.lit(False)).withColumn(name + "_score", F.lit(None).cast("double"))
     arrays = [F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")) for f in fields]
     t = df.withColumn("__t", F.array(*arrays))
-    vocab = t.select(F.explode(F.flatten("__t")).alias("w")).distinct()
+
+    def near(w: Column, q: str) -> Column:
+        """The length first: few words of a vocabulary are left for the distance."""
+        k = allowed_edits(q)
+        return F.length(w).between(len(q) - k, len(q) + k) & (F.levenshtein(w, F.lit(q), k) >= 0)
+
+    # Only words near a term leave their task; what is aggregated is a few spellings of the terms.
+    words = t.select(F.explode(F.flatten("__t")).alias("w")).filter(reduce(lambda a, b: a | b, [near(F.col("w"), q) for q in terms])).distinct()
     per = []
     for i, q in enumerate(terms):
-        exact = F.max(F.col("w") == q)
-        near = F.collect_set(F.when((F.length("w") > 0) & (F.levenshtein(F.col("w"), F.lit(q), allowed_edits(q)) >= 0), F.struct(F.col("w").alias("w"), F.levenshtein(F.col("w"), F.lit(q)).alias("e"))))
-        per.append(F.when(exact, F.array(F.struct(F.lit(q).alias("w"), F.lit(0).alias("e")))).otherwise(near).alias(f"__x{i}"))
-    both = t.crossJoin(F.broadcast(vocab.agg(*per)))
+        some = F.collect_set(F.when(near(F.col("w"), q), F.struct(F.col("w").alias("w"), F.levenshtein(F.col("w"), F.lit(q)).alias("e"))))
+        per.append(F.when(F.max(F.col("w") == q), F.array(F.struct(F.lit(q).alias("w"), F.lit(0).alias("e")))).otherwise(some).alias(f"__x{i}"))
+    both = t.crossJoin(F.broadcast(words.agg(*per)))  # one row, of spellings within two edits
     flat = F.flatten("__t")
     # Per term: the fewest edits of a matching word, and the buckets where matching words stand.
     for i in range(len(terms)):
@@ -96,8 +102,7 @@ def with_search(df: DataFrame, fields: list[str], query: str, name: str, key: st
     typo = F.lit(1.0) - reduce(lambda a, b: a + b, [F.col(f"__e{i}") for i in range(len(terms))]) / (2 * m)
 
     def close(i: int) -> Column:
-        gap = F.array_min(F.flatten(F.transform(F.col(f"__b{i}"), lambda a: F.transform(F.col(f"__b{i + 1}"), lambda b: F.abs(a - b)))))
-        return F.lit(1.0) / (1 + gap)
+        return F.lit(1.0) / (1 + least_gap(F.col(f"__b{i}"), F.col(f"__b{i + 1}")))
 
     proximity = F.lit(1.0) if len(terms) == 1 else reduce(lambda a, b: a + b, [close(i) for i in range(len(terms) - 1)]) / (m - 1)
     any_word = F.flatten(F.array(*[F.transform(F.col(f"__x{i}"), lambda s: s["w"]) for i in range(len(terms))]))
@@ -111,6 +116,49 @@ def with_search(df: DataFrame, fields: list[str], query: str, name: str, key: st
     return both.withColumn(name, hit).withColumn(name + "_score", F.when(hit, score)).drop(*drop)
 
 
+def least_gap(a: Column, b: Column) -> Column:
+    """The least distance of a number of a from one of b: among neighbours of both in order, so no pairs are made."""
+    mark = lambda c, k: F.transform(c, lambda x: F.struct(x.alias("p"), F.lit(k).alias("k")))
+
+    def gaps(s: Column) -> Column:
+        step = lambda x, i: F.when(F.get(s, i + 1)["k"] != x["k"], F.get(s, i + 1)["p"] - x["p"])
+        return F.array_min(F.transform(s, step))
+
+    return F.transform(F.array(F.sort_array(F.concat(mark(a, 0), mark(b, 1)))), gaps)[0]
+
+
+# ── trigrams ──
+def trigrams(c: Column) -> Column:
+    """Distinct runs of three characters, lower-cased; of the array of characters, as places in a long text are dear."""
+    run = lambda x, i, all: F.concat(x, F.get(all, i + 1), F.get(all, i + 2))
+    of = lambda all: F.array_distinct(F.array_compact(F.transform(all, lambda x, i: run(x, i, all))))
+    return F.transform(F.array(F.split(F.lower(c), "")), of)[0]
+
+
+def pattern_trigrams(pattern: str) -> list[str]:
+    """Those that every match of an ILIKE pattern has: of its parts between %."""
+    return sorted({p[i : i + 3] for p in pattern.strip().lower().split("%") for i in range(len(p) - 2)})
+
+
+def trigram_index(df: DataFrame, field: str, key: str = "_id") -> DataFrame:
+    """Postings (trigram, key). Save it partitioned or bucketed by trigram where it is asked more than once."""
+    return df.filter(F.col(field).isNotNull()).select(F.explode(trigrams(F.col(field))).alias("trigram"), key)
+
+
+def index_candidates(index: DataFrame, pattern: str, key: str = "_id") -> DataFrame | None:
+    """Keys whose postings have all the pattern's trigrams; None where it has none and every row is a candidate."""
+    want = pattern_trigrams(pattern)
+    if not want:
+        return None
+    hits = index.filter(F.col("trigram").isin(want)).groupBy(key).agg(F.count_distinct("trigram").alias("n"))
+    return hits.filter(F.col("n") == len(want)).select(key)
+
+
+def verify_ilike(df: DataFrame, field: str, pattern: str, candidates: DataFrame | None, key: str = "_id") -> DataFrame:
+    rows = df if candidates is None else df.join(candidates, key, "left_semi")
+    return trigram_candidates(rows, field, pattern)
+
+
 def trigram_candidates(df: DataFrame, field: str, pattern: str) -> DataFrame:
     """ILIKE search: rows whose field has the pattern's parts, in any case."""
     from .predicates import like

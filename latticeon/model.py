@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -38,7 +39,17 @@ class Graph:
         parts = [self.collections[n] for n in sorted(self.collections)]
         if not parts:
             return self.collection("")
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(forget_keys, parts)) if len(parts) > 1 else parts[0]
+
+    def at(self, slugs: list[str]) -> DataFrame:
+        """The nodes of these ids. Only the collections that they name are read, if all of them are known."""
+        names = sorted({s.split("/")[0] for s in slugs})
+        if not names or not set(names) <= set(self.collections):
+            df = self.all()
+            return df.filter(has_id(df, slugs))
+        parts = [self.collections[n] for n in names]
+        parts = [df.filter(has_id(df, slugs)) for df in parts]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(forget_keys, parts))
 
     def ids(self) -> DataFrame:
         """_id, _key and _collection of all nodes: no other column is read."""
@@ -47,17 +58,57 @@ class Graph:
 
     def with_collection(self, name: str, df: DataFrame | None) -> Graph:
         rest = {k: v for k, v in self.collections.items() if k != name}
-        return replace(self, collections=rest if df is None else rest | {name: df})
+        return replace(self, collections=rest if df is None else rest | {name: forget_keys(df)})
 
     def with_edges(self, edges: DataFrame) -> Graph:
         return replace(self, edges=edges)
 
 
 def as_collection(df: DataFrame, name: str, key: str) -> DataFrame:
-    """df as the nodes of a collection: _collection, _key (of column key) and _id in front."""
+    """df as the nodes of a collection: _collection, _key (of column key) and _id in front.
+
+    Where the key is a whole number, _key and _id carry its column's name, so that a
+    lookup is planned on that column and reaches the scan.
+    """
     k = F.col(key).cast("string")
     rest = [c for c in df.columns if c not in SYSTEM_FIELDS]
-    return df.select(F.lit(name).alias("_collection"), k.alias("_key"), F.concat(F.lit(name + "/"), k).alias("_id"), *rest)
+    whole = isinstance(df.schema[key].dataType, T.IntegralType) and key in rest
+    meta = lambda prefix: {"metadata": {NATIVE: key, "prefix": prefix}} if whole else {}
+    return df.select(F.lit(name).alias("_collection"), k.alias("_key", **meta("")), F.concat(F.lit(name + "/"), k).alias("_id", **meta(name + "/")), *rest)
+
+
+#: Metadata of a column that spells another one: that one's name, and what stands in front.
+NATIVE = "spells"
+
+
+def forget_keys(df: DataFrame) -> DataFrame:
+    """After a change, or within a union, the spelt column is no longer sure to hold the key."""
+    for f in df.schema.fields:
+        if NATIVE in (f.metadata or {}):
+            df = df.withMetadata(f.name, {})
+    return df
+
+
+def spelt(f: T.StructField, columns, texts) -> tuple[str, list[int]] | None:
+    """For a column that spells whole numbers: the column of the numbers, and those that the texts spell."""
+    name, prefix = (f.metadata or {}).get(NATIVE), (f.metadata or {}).get("prefix", "")
+    if name is None or name not in columns or not all(isinstance(t, str) for t in texts):
+        return None
+    found = []
+    for t in texts:
+        n = t.removeprefix(prefix)
+        if t.startswith(prefix) and re.fullmatch("-?[0-9]{1,18}", n) and str(int(n)) == n:
+            found.append(int(n))
+    return name, found
+
+
+def has_id(df: DataFrame, slugs, field: str = "_id"):
+    """A filter on _id (or _key), on the native key where there is one."""
+    slugs = list(slugs)
+    native = spelt(df.schema[field], df.columns, slugs)
+    if native is None:
+        return F.col(field).isin(slugs) if slugs else F.lit(False)
+    return F.col(f"`{native[0]}`").isin(native[1]) if native[1] else F.lit(False)
 
 
 def as_edges(df: DataFrame, src, dst, kind: str, strength=None, meta=None) -> DataFrame:

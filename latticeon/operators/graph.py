@@ -6,7 +6,6 @@ _collection. Traversal reads the edge columns it needs; node attributes are join
 
 from __future__ import annotations
 
-import itertools
 import uuid
 from functools import reduce
 
@@ -19,17 +18,23 @@ from ..model import Graph
 _DEEP = 3
 
 
+def shared_folder(spark) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. One of this machine serves a local session only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="latticeon-")
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """checkpoint() in the folder that all executors share."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="latticeon-")
-        sc.setCheckpointDir(f"{folder}/ckpt-{uuid.uuid4().hex}")
+        sc.setCheckpointDir(f"{shared_folder(df.sparkSession)}/ckpt-{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
 
 
@@ -132,7 +137,7 @@ def expand(graph: Graph, rows: DataFrame, at: Column, edge: str, kind: str | Non
 def shortest_path(graph: Graph, start: str, end: str):
     """Node ids and edges of a shortest directed path, or None. Ties go to the smaller predecessor.
 
-    Breadth first, until the end is met or no new node is: a join per level. Only one row per level reaches the driver, to see whether the end is met; then
+    Breadth first, until the end is met or no new node is: a join per level, up to four levels a job. Only one row per job reaches the driver, to see whether the end is met; then
     the path is walked back, a point lookup per node.
     """
     spark = graph.spark
@@ -144,18 +149,27 @@ def shortest_path(graph: Graph, start: str, end: str):
     e = graph.edges.select("src", "dst")
     schema = T.StructType([T.StructField("_id", T.StringType()), T.StructField("parent", T.StringType()), T.StructField("depth", T.IntegerType())])
     seen = frontier = spark.createDataFrame([(start, None, 0)], schema)
-    for depth in itertools.count(1):
-        step = e.join(frontier.select(F.col("_id").alias("src")), "src").groupBy("dst").agg(F.min("src").alias("parent"))
-        step = step.select(F.col("dst").alias("_id"), "parent", F.lit(depth).alias("depth")).join(seen, "_id", "left_anti").join(ids, "_id", "left_semi")
-        frontier = cut_lineage(step)
-        met = frontier.agg(F.count("*").alias("n"), F.max(F.col("_id") == end).alias("hit")).first()
-        if not met["n"]:
-            return None
-        seen = seen.union(frontier)
-        if depth % _DEEP == 0:
-            seen = cut_lineage(seen)
+    depth, batch = 0, 1
+    while True:
+        # A batch of levels is one job: each goes on from the ends of the one before, and a node keeps its least depth.
+        level, levels = frontier.select("_id"), []
+        for depth in range(depth + 1, depth + batch + 1):
+            step = e.join(level.select(F.col("_id").alias("src")), "src").groupBy("dst").agg(F.min("src").alias("parent"))
+            step = step.select(F.col("dst").alias("_id"), "parent", F.lit(depth).alias("depth")).join(ids, "_id", "left_semi")
+            levels.append(step)
+            level = step
+        new = reduce(DataFrame.union, levels)
+        if batch > 1:
+            new = new.groupBy("_id").agg(F.min(F.struct("depth", "parent")).alias("x")).select("_id", "x.parent", "x.depth")
+        new = cut_lineage(new.join(seen, "_id", "left_anti"))
+        met = new.agg(F.max(F.col("_id") == end).alias("hit"), F.count(F.when(F.col("depth") == depth, 1)).alias("last")).first()
+        seen = seen.union(new)
         if met["hit"]:
             break
+        if not met["last"]:
+            return None
+        frontier = new.filter(F.col("depth") == depth)
+        seen, batch = cut_lineage(seen) if batch > 1 else seen, min(4, 2 * batch)
     path = [end]
     while path[-1] != start:
         path.append(seen.filter(F.col("_id") == path[-1]).select("parent").first()[0])

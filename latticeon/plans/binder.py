@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import fields, is_dataclass
+from dataclasses import fields, is_dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo, predicates, scalars, text, vector
-from ..model import Graph
+from ..model import Graph, spelt
 from ..operators import graph as G
 from .ast import Between, Bin, Call, Case, Chain, In, IsNull, JsonPath, Like, ListLit, Lit, Name, Neg, Not, PathPredicate, Select, Star, Table
 from .errors import GroupByViolation, QueryError
@@ -65,6 +65,7 @@ class Scope:
         self.df, self.variables, self.edges, self.tables = df, set(variables), set(edges), set(tables)
         self.ranked, self.aliases, self.strict = ranked or {}, aliases or {}, strict
         self.types = {f.name: f.dataType for f in df.schema.fields}
+        self.fields = {f.name: f for f in df.schema.fields}
 
     def column(self, parts: tuple[str, ...]) -> tuple[Column, T.DataType | None]:
         if len(parts) > 1 and parts[0] in self.tables:
@@ -86,6 +87,14 @@ class Scope:
             return self.aliases[head], None
         return F.lit(None), None
 
+    def native(self, e, values) -> tuple[Column, list[int]] | None:
+        """For a key that spells a whole number: its column and the numbers that the values spell."""
+        if not isinstance(e, Name):
+            return None
+        parts = e.parts[1:] if len(e.parts) > 1 and e.parts[0] in self.tables else e.parts
+        got = spelt(self.fields[parts[0]], self.types, values) if len(parts) == 1 and parts[0] in self.fields else None
+        return got and (F.col(f"`{got[0]}`"), got[1])
+
     def _edge(self, var: str, name: str):
         have = self.types[var].fieldNames() if var in self.types else []
         if name in have:
@@ -96,8 +105,27 @@ class Scope:
 
 
 class Compiler:
+    """Expressions as columns. A predicate is true or false, never missing; as a filter (``keep``) it may be missing where it
+    isn't true, which lets comparisons reach the scan and be keys of joins."""
+
     def __init__(self, scope: Scope):
         self.scope = scope
+        self.bare = False
+
+    def keep(self, e) -> Column:
+        self.bare = True
+        try:
+            return self.predicate(e)
+        finally:
+            self.bare = False
+
+    def _total(self, e) -> Column:
+        """A predicate within another expression."""
+        bare, self.bare = self.bare, False
+        try:
+            return self.predicate(e)
+        finally:
+            self.bare = bare
 
     def dtype(self, e):
         return self.scope.column(e.parts)[1] if isinstance(e, Name) else None
@@ -130,12 +158,12 @@ class Compiler:
         if isinstance(e, Case):
             out = None
             for cond, then in e.whens:
-                c, v = self.predicate(cond), self.value(then)
+                c, v = self._total(cond), self.value(then)
                 out = F.when(c, v) if out is None else out.when(c, v)
             return out.otherwise(self.value(e.other))
         if isinstance(e, Call):
             return self.call(e)
-        return self.predicate(e)
+        return self._total(e)
 
     def point(self, e) -> tuple[float, float]:
         if not (isinstance(e, Call) and e.name == "POINT"):
@@ -190,7 +218,9 @@ class Compiler:
         if n == "ST_AREA" and len(a) == 1:
             return geo.area_km2(self.value(a[0]))
         if n.startswith("ST_") or n == "ARRAY_CONTAINS_ALL":
-            return self.predicate(e)
+            return self._total(e)
+        if n == "__ONE":
+            return F.lit(1).cast("long")
         if n in AGGREGATES:
             raise QueryError(f"{n} is not possible here")
         raise QueryError(f"unknown function {n}")
@@ -208,14 +238,15 @@ class Compiler:
         if isinstance(e, Bin) and e.op == "OR":
             return self.predicate(e.left) | self.predicate(e.right)
         if isinstance(e, Not):
-            return ~self.predicate(e.x)
+            return ~self._total(e.x)
         if isinstance(e, Bin):
             return self.comparison(e)
         if isinstance(e, Between):
             return self.comparison(Bin(">=", e.x, e.low)) & self.comparison(Bin("<=", e.x, e.high))
         if isinstance(e, In):
-            got = predicates.is_in(self.value(e.x), e.items, self.dtype(e.x))
-            return ~got if e.negated else got
+            native = self.scope.native(e.x, e.items)
+            c, items, t = (native[0], native[1], None) if native else (self.value(e.x), e.items, self.dtype(e.x))
+            return predicates.not_in(c, items, t) if e.negated else predicates.is_in(c, items, t, self.bare)
         if isinstance(e, Like):
             got = predicates.like(self.value(e.x), e.pattern, e.ignore_case)
             return ~got if e.negated else got
@@ -238,6 +269,9 @@ class Compiler:
         c = self.value(left)
         if isinstance(right, Lit):
             t = self.dtype(left)
+            native = self.scope.native(left, [right.value]) if e.op == "=" else None
+            if native:
+                return predicates.is_in(native[0], native[1], None, self.bare)
             if t is None and predicates.is_number(right.value) and isinstance(left, (JsonPath, Name)):
                 c, t = c.cast("string").try_cast("double"), T.DoubleType()
             if self.scope.strict:
@@ -245,13 +279,14 @@ class Compiler:
                     return c.isNotNull() & predicates.compare(c, "!=", right.value, t)
                 if isinstance(right.value, str) and e.op in ("<", "<=", ">", ">=") and isinstance(t, T.StringType):
                     v = F.lit(right.value)
-                    return predicates.sure({"<": c < v, "<=": c <= v, ">": c > v, ">=": c >= v}[e.op])
-            return predicates.compare(c, e.op, right.value, t)
+                    got = {"<": c < v, "<=": c <= v, ">": c > v, ">=": c >= v}[e.op]
+                    return got if self.bare else predicates.sure(got)
+            return predicates.compare(c, e.op, right.value, t, self.bare)
         r = self.value(right)
         if isinstance(right, Call) and right.name == "NOW":
             r = F.unix_millis(F.current_timestamp())
         got = {"=": c == r, "!=": c != r, "<": c < r, "<=": c <= r, ">": c > r, ">=": c >= r}[e.op]
-        return predicates.sure(got)
+        return got if self.bare else predicates.sure(got)
 
     def spatial(self, e: Call) -> Column:
         n, a = e.name, e.args
@@ -326,8 +361,9 @@ def named(items) -> list[tuple[object, str]]:
 
 
 class Binder:
-    def __init__(self, graph: Graph, search_fields: dict[str, list[str]] | None = None):
-        self.graph = graph
+    def __init__(self, graph: Graph, search_fields: dict[str, list[str]] | None = None, collapse: bool = False):
+        """collapse: aggregates of a pattern without GROUP BY give one row in all, not one a path."""
+        self.graph, self.collapse = graph, collapse
         self.search_fields = search_fields or {}
 
     def bind(self, q: Select) -> DataFrame:
@@ -343,6 +379,10 @@ class Binder:
             return self._finish(q, rows, scope) if rows is not None else self._empty(q)
         counted = self._counted(q)
         rows, scope = counted if counted else self._match(q)
+        if s.edges and not (q.stages or q.group or self.collapse):
+            calls = [x for x in walk([e for e, _ in q.items]) if isinstance(x, Call) and x.name in AGGREGATES]
+            if any(c.name != "COUNT" for c in calls):
+                q = replace(q, items=[(_of_one_path(e), a or default_name(e)) for e, a in q.items])
         return self._finish(q, rows, scope)
 
     def _counted(self, q: Select):
@@ -378,7 +418,7 @@ class Binder:
                 k = c.args[2].value
                 df = vector.near(df, c.args[0].parts[-1], numbers(c.args[1]), int(k), "_id")
             else:
-                df = df.filter(Compiler(scope).predicate(c))
+                df = df.filter(Compiler(scope).keep(c))
         scope.df = df
         return self._finish(q, df, scope)
 
@@ -404,7 +444,7 @@ class Binder:
     # ── patterns ──
     def _start(self, n, where_of) -> DataFrame:
         if n.slug is not None:
-            df = self.graph.all().filter(F.col("_id") == n.slug)
+            df = self.graph.at([n.slug])
         else:
             df = self.graph.collection(n.label) if n.label else self.graph.all()
         return self._narrow(df, n, where_of)
@@ -412,9 +452,9 @@ class Binder:
     def _narrow(self, df: DataFrame, n, conds) -> DataFrame:
         c = Compiler(Scope(df, strict=True, tables={n.var} if n.var else set()))
         for k, v in n.props.items():
-            df = df.filter(c.predicate(Bin("=", Name((k,)), Lit(v))))
+            df = df.filter(c.keep(Bin("=", Name((k,)), Lit(v))))
         for e in conjuncts(n.where) + list(conds):
-            df = df.filter(c.predicate(e))
+            df = df.filter(c.keep(e))
         return df
 
     @staticmethod
@@ -453,12 +493,12 @@ class Binder:
         used = self._used(q)
         rows, scope, rest = self._chain(q.sources[0], conjuncts(q.where), used, None, None)
         for e in rest:
-            rows = rows.filter(Compiler(scope).predicate(e))
+            rows = rows.filter(Compiler(scope).keep(e))
         for items, chain, where in q.stages:
             rows, scope = self._stage(rows, scope, items)
             rows, scope, rest = self._chain(chain, conjuncts(where), used, rows, scope)
             for e in rest:
-                rows = rows.filter(Compiler(scope).predicate(e))
+                rows = rows.filter(Compiler(scope).keep(e))
         scope.df = rows
         return rows, scope
 
@@ -513,7 +553,7 @@ class Binder:
                     fields_ = set(node.schema[var].dataType.fieldNames())
                     # Only for the names and types of both sides; the join itself takes the condition.
                     merged = Scope(rows.crossJoin(node.drop("__id")), variables={var}, strict=True)
-                    tests = [Compiler(merged).predicate(self._qualify(e, var, fields_, set(carried))) for e in outer]
+                    tests = [Compiler(merged).keep(self._qualify(e, var, fields_, set(carried))) for e in outer]
                     both = rows.join(node.drop("__id"), reduce(lambda x, y: x & y, tests))
                 else:
                     both = rows.crossJoin(node.drop("__id"))
@@ -620,10 +660,10 @@ class Binder:
         row = spark.createDataFrame([((len(edges), nodes, edges, nodes, strength),)], f"`{path_var}` struct<length:long,nodes:array<string>,edges:array<struct<`from`:string,`to`:string,type:string,strength:double>>,_path_keys:array<string>,_path_strength:double>")
         for n, slug in zip((a, b), ends):
             if n.var and n.var not in row.columns:
-                found = self.graph.all().filter(F.col("_id") == slug).drop(*_HIDDEN)
+                found = self.graph.at([slug]).drop(*_HIDDEN)
                 row = row.crossJoin(found.select(F.struct("*").alias(n.var)))
         for p in preds:
-            members = self.graph.all().filter(F.col("_id").isin(nodes))  # the nodes of one path
+            members = self.graph.at(nodes)  # the nodes of one path
             cond = Compiler(Scope(members, tables={p.var}, strict=True)).predicate(p.cond)
             hits = members.agg(F.sum(cond.cast("int")).alias("__h"))
             n = F.coalesce(F.col("__h"), F.lit(0))
@@ -655,14 +695,14 @@ class Binder:
                 rest = [e for e in rest if e not in mine]
                 part, scope, left = self._chain(s, mine, used, None, None)
                 for e in left:
-                    part = part.filter(Compiler(scope).predicate(e))
+                    part = part.filter(Compiler(scope).keep(e))
                 variables |= scope.variables
                 edges |= scope.edges
                 part = part.drop(*[c for c in part.columns if c.startswith("__")])
             rows = part if rows is None else rows.crossJoin(part)
         scope = Scope(rows, variables=variables, edges=edges, strict=True)
         for e in rest:
-            rows = rows.filter(Compiler(scope).predicate(e))
+            rows = rows.filter(Compiler(scope).keep(e))
         return self._finish(q, rows, scope)
 
     # ── SELECT list, grouping, order ──
@@ -714,7 +754,7 @@ class Binder:
         names = {e: n for e, n in keys + real + also + extra}
         sub = lambda e: substitute(e, names)
         if q.having is not None:
-            out = out.filter(Compiler(Scope(out)).predicate(sub(q.having)))
+            out = out.filter(Compiler(Scope(out)).keep(sub(q.having)))
         q2 = Select([], [], q.distinct, order=[(sub(e), a) for e, a in q.order], limit=q.limit, offset=q.offset)
         return self._sorted(q2, out, Scope(out), [n for _, n in pairs])
 
@@ -752,6 +792,17 @@ class Binder:
         return project(rows)
 
 
+def _of_one_path(e):
+    """Aggregates over a single path."""
+    if isinstance(e, Call) and e.name in AGGREGATES:
+        return Call("__ONE", ()) if e.name == "COUNT" else Bin("+", e.args[0], Lit(0.0))
+    if isinstance(e, tuple):
+        return tuple(map(_of_one_path, e))
+    if is_dataclass(e):
+        return type(e)(*[_of_one_path(getattr(e, f.name)) for f in fields(e)])
+    return e
+
+
 def split_aggregates(e, first: int):
     """e with each aggregate replaced by a name, and the aggregates with those names."""
     calls: list[tuple[Call, str]] = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid as _uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,10 +206,10 @@ def hop_backward(spark, d):
     return G.hop(g, g.collection("part").filter("p_size = 1"), "contains", backward=True).select("_id")
 
 
-@add("min_strength", _IDS.format("part", "l_partkey") + "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 11 AND l_quantity >= 30")
+@add("min_strength", _IDS.format("part", "l_partkey") + "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 30")
 def min_strength(spark, d):
     g = tables.graph(spark, d, ("part", "orders"), ("contains",))
-    return G.hop(g, g.collection("orders").filter("o_custkey = 11"), "contains", min_strength=30.0).select("_id")
+    return G.hop(g, g.collection("orders"), "contains", min_strength=30.0).select("_id")
 
 
 _RING = "ring AS (SELECT c_custkey AS a, (c_custkey + s) % (SELECT count(*) FROM customer) AS b FROM customer, (VALUES (7), (13), (31)) t(s))"
@@ -267,7 +269,7 @@ def walk_counts_frontier(spark, d):
     return G.walk_counts(g, g.collection("customer").filter("c_nationkey = 2"), [("near", 2, 4, False)])
 
 
-text_query("edge_intrinsics", ("customer",), ("near",), "SELECT c._key AS dest, r2._depth AS depth, PATH_PRODUCT(r2._path_strength) AS product, r2._avg_strength AS mean, r2._min_strength AS lo, r2._max_strength AS hi, PATH_FIRST(r2._path_keys) AS first, PATH_LAST(r2._path_keys) AS last, JSON_ARRAY_LENGTH(r2._path_keys) AS n FROM MATCH (a:customer)-[r:near]->(b:customer)-[r2:near]->(c:customer) WHERE a._key = '3'", "WITH e AS (SELECT c_custkey AS a, (c_custkey + s) % (SELECT count(*) FROM customer) AS b, (s / 31.0)::FLOAT::DOUBLE AS w FROM customer, (VALUES (7), (13), (31)) t(s)) SELECT cast(y.b AS VARCHAR) AS dest, 2::BIGINT AS depth, round(x.w * y.w, 6) AS product, round((x.w + y.w) / 2, 6) AS mean, round(least(x.w, y.w), 6) AS lo, round(greatest(x.w, y.w), 6) AS hi, 'customer/3' AS first, 'customer/' || y.b AS last, 3::BIGINT AS n FROM e x JOIN e y ON x.b = y.a WHERE x.a = 3", {"product": 6, "mean": 6, "lo": 6, "hi": 6})
+text_query("edge_intrinsics", ("customer",), ("near",), "SELECT a._key AS start, c._key AS dest, r2._depth AS depth, PATH_PRODUCT(r2._path_strength) AS p_product, PATH_SUM(r2._path_strength) AS p_sum, PATH_AVG(r2._path_strength) AS p_avg, PATH_MIN(r2._path_strength) AS p_min, PATH_MAX(r2._path_strength) AS p_max, r2._avg_strength AS mean, r2._min_strength AS lo, r2._max_strength AS hi, PATH_FIRST(r2._path_keys) AS first, PATH_LAST(r2._path_keys) AS last, JSON_ARRAY_LENGTH(r2._path_keys) AS n FROM MATCH (a:customer)-[r:near]->(b:customer)-[r2:near]->(c:customer)", "WITH e AS (SELECT c_custkey AS a, (c_custkey + s) % (SELECT count(*) FROM customer) AS b, (s / 31.0)::FLOAT::DOUBLE AS w FROM customer, (VALUES (7), (13), (31)) t(s)) SELECT cast(x.a AS VARCHAR) AS start, cast(y.b AS VARCHAR) AS dest, 2::BIGINT AS depth, round(x.w * y.w, 6) AS p_product, round(x.w + y.w, 6) AS p_sum, round((x.w + y.w) / 2, 6) AS p_avg, round(least(x.w, y.w), 6) AS p_min, round(greatest(x.w, y.w), 6) AS p_max, round((x.w + y.w) / 2, 6) AS mean, round(least(x.w, y.w), 6) AS lo, round(greatest(x.w, y.w), 6) AS hi, 'customer/' || x.a AS first, 'customer/' || y.b AS last, 3::BIGINT AS n FROM e x JOIN e y ON x.b = y.a", {c: 6 for c in ("p_product", "p_sum", "p_avg", "p_min", "p_max", "mean", "lo", "hi")})
 text_query("with_two_stage", ("customer", "orders", "nation"), ("placed", "customer_in"), "MATCH (c:customer)-[:placed]->(o:orders) WITH c, SUM(o.o_totalprice) AS spent MATCH (c)-[:in_nation]->(n:nation) RETURN n.n_name AS nation, MAX(spent) AS top, COUNT(*) AS buyers GROUP BY n.n_name", "SELECT n_name AS nation, round(max(spent), 2) AS top, count(*) AS buyers FROM (SELECT o_custkey, sum(o_totalprice) AS spent FROM orders GROUP BY 1) JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1", {"top": 2})
 text_query("match_group_multi", ("customer", "orders"), ("placed",), "MATCH (c:customer)-[:placed]->(o:orders) RETURN c.c_nationkey AS nation, o.o_orderstatus AS status, COUNT(*) AS n GROUP BY c.c_nationkey, o.o_orderstatus", "SELECT c_nationkey AS nation, o_orderstatus AS status, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
 text_query("match_no_hop", ("customer",), (), "MATCH (c:customer WHERE c_acctbal >= 9990) RETURN c.c_name AS name, c.c_acctbal AS balance", "SELECT c_name AS name, c_acctbal AS balance FROM customer WHERE c_acctbal >= 9990")
@@ -364,7 +366,7 @@ def hybrid_vector_filter_group(spark, d):
     return vector.near(e, "embedding", query_vector(spark, d)[0], 50, "_id").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@add("spatial_cells", f"SELECT floor({_LAT} / 0.05)::BIGINT AS cell_lat, floor({_LON} / 0.05)::BIGINT AS cell_lon, count(*) AS n FROM customer WHERE c_custkey % 25 <> 0 AND c_custkey % 50 NOT IN (0, 49, 50) GROUP BY ALL")
+@add("spatial_cells", f"SELECT floor((-37600 - c_custkey % 600) / 50.0)::BIGINT AS cell_lat, floor((144500 + c_custkey % 1000) / 50.0)::BIGINT AS cell_lon, count(*) AS n FROM customer GROUP BY ALL")
 def spatial_cells(spark, d):
     c = tables.graph(spark, d, ("customer",)).collection("customer")
     return c.select(*geo.cell(F.col("geometry"), 0.05)).groupBy("cell_lat", "cell_lon").agg(F.count("*").alias("n"))
@@ -439,6 +441,239 @@ def event_windows(spark, d):
     return windowed(spark.read.parquet(f"{d}/events.parquet")).withColumn("total", F.round("total", 4))
 
 
+# ── further forms ──
+simple("select_star", "nation", "SELECT * FROM nation", "SELECT 'nation' AS _collection, cast(n_nationkey AS VARCHAR) AS _key, 'nation/' || n_nationkey AS _id, * FROM nation")
+simple("filter_now", "events", "SELECT COUNT(*) AS n FROM events WHERE user_id < NOW()", "SELECT count(*) AS n FROM events WHERE user_id < epoch_ms(now())")
+simple("filter_null_literal", "customer", "SELECT _key FROM customer WHERE nothing = null AND c_name != null", _C + "c_name IS NOT NULL")
+simple("filter_in_null", "customer", "SELECT _key FROM customer WHERE NOT (c_acctbal NOT IN (1, null)) OR c_nationkey = ANY([7])", _C + "c_acctbal IS NULL OR c_acctbal = 1 OR c_nationkey = 7")
+simple("agg_first_value", "customer", "SELECT _collection, COUNT(*) AS n, SUM(c_nationkey) AS s FROM customer", "SELECT 'customer' AS _collection, count(*) AS n, sum(c_nationkey)::DOUBLE AS s FROM customer")
+simple("group_star", "nation", "SELECT * FROM nation GROUP BY n_nationkey", "SELECT 'nation' AS _collection, cast(n_nationkey AS VARCHAR) AS _key, 'nation/' || n_nationkey AS _id, * FROM nation")
+simple("now_and_uuid4", "region", "SELECT _key, LENGTH(NOW()) AS n, LENGTH(UUIDV4()) AS u FROM region", "SELECT cast(r_regionkey AS VARCHAR) AS _key, 20::INTEGER AS n, 36::INTEGER AS u FROM region")
+simple("uuid5", "region", "SELECT _key, UUIDV5('6ba7b810-9dad-11d1-80b4-00c04fd430c8', r_name) AS u, UUIDV5('none', _key) AS v FROM region", "SELECT r AS _key, u, v FROM (VALUES " + ", ".join(f"('{i}', '{_uuid.uuid5(_uuid.NAMESPACE_DNS, n)}', '{_uuid.uuid5(_uuid.NAMESPACE_DNS, str(i))}')" for i, n in enumerate(("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))) + ") t(r, u, v)")
+simple("trims", "part", "SELECT _key, LTRIM(CONCAT('  ', p_name, ' ')) AS l, RTRIM(CONCAT(' ', p_name, '  ')) AS r FROM part", "SELECT cast(p_partkey AS VARCHAR) AS _key, p_name || ' ' AS l, ' ' || p_name AS r FROM part")
+simple("age_of_date_text", "orders", "SELECT _key, AGE_DAYS(SUBSTRING(DATE_TRUNC('day', o_orderdate), 1, 10), 1000000000) AS days FROM orders", "SELECT cast(o_orderkey AS VARCHAR) AS _key, trunc((1000000000 - epoch(date_trunc('day', o_orderdate))) / 86400)::BIGINT AS days FROM orders")
+simple("vector_functions", "embeddings", "SELECT _key, VECTOR_L2(embedding, $1) AS l2, VECTOR_DOT(embedding, $1) AS dot, VECTOR_L1(embedding, $1) AS l1 FROM embeddings", f"SELECT cast(vec_id AS VARCHAR) AS _key, round(list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::DOUBLE - x[2]) ** 2)), 6) AS l2, round({_DOT}, 6) AS dot, round(list_sum(list_transform(list_zip(embedding, q), lambda x: abs(x[1]::DOUBLE - x[2]))), 6) AS l1 FROM embeddings, {_Q}", {"l2": 6, "dot": 6, "l1": 6}, query_vector)
+text_query("match_now", ("nation",), (), "MATCH (n:nation) RETURN n._key AS k, NOW() * 0 AS zero", "SELECT cast(n_nationkey AS VARCHAR) AS k, 0.0::DOUBLE AS zero FROM nation")
+text_query("match_array_length", ("embeddings",), (), "MATCH (e:embeddings) RETURN e._key AS k, JSON_ARRAY_LENGTH(e.embedding) AS n", "SELECT cast(vec_id AS VARCHAR) AS k, len(embedding)::BIGINT AS n FROM embeddings")
+text_query("match_per_path", ("customer", "orders"), ("placed",), "SELECT c._key AS c, COUNT(*) AS n, SUM(o.o_totalprice) AS total FROM MATCH (c:customer)-[:placed]->(o:orders)", "SELECT cast(c_custkey AS VARCHAR) AS c, 1::BIGINT AS n, o_totalprice AS total FROM customer JOIN orders ON o_custkey = c_custkey")
+text_query("match_count_all", ("customer", "orders"), ("placed",), "SELECT COUNT(*) AS n FROM MATCH (c:customer)-[:placed]->(o:orders)", "SELECT count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey")
+text_query("match_order_limit", ("customer", "orders"), ("placed",), "SELECT c._key AS c, SUM(o.o_totalprice) AS total FROM MATCH (c:customer)-[:placed]->(o:orders) GROUP BY c._key ORDER BY total DESC LIMIT 12", "SELECT cast(o_custkey AS VARCHAR) AS c, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 12", {"total": 2})
+text_query("match_reverse_anchor", ("customer", "nation"), ("customer_in",), "SELECT c._key AS c, c.c_acctbal AS balance FROM MATCH (c:customer)-[:in_nation]->(n:nation) WHERE n._key = '3'", "SELECT cast(c_custkey AS VARCHAR) AS c, c_acctbal AS balance FROM customer WHERE c_nationkey = 3")
+text_query("match_inline_props", ("customer", "nation"), ("customer_in",), "SELECT n.n_name AS nation, COUNT(*) AS n FROM MATCH (c:customer {c_mktsegment: 'BUILDING'})-[:in_nation]->(n:nation) GROUP BY n.n_name", "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+text_query("stage_total", ("customer", "orders", "region"), ("placed",), "MATCH (c:customer)-[:placed]->(o:orders) WITH SUM(o.o_totalprice) AS total, COUNT(*) AS n MATCH (r:region) RETURN r.r_name AS region, total AS total, n AS n", "SELECT r_name AS region, round(sum(o_totalprice), 1) AS total, count(*) AS n FROM region, orders JOIN customer ON c_custkey = o_custkey GROUP BY 1", {"total": 1})
+text_query("shortest_long", ("part",), ("line",), "SELECT r.length AS hops, PATH_LAST(r._path_keys) AS last FROM MATCH SHORTEST (a:part)-[r*]->(b:part) WHERE a._key = '0' AND b._key = '70'", "SELECT 70::BIGINT AS hops, 'part/70' AS last FROM part HAVING count(*) > 70")
+
+
+@add("st_asgeojson", "SELECT cast(n_nationkey AS VARCHAR) AS _key, '{\"type\":\"Point\",\"coordinates\":[' || n_nationkey || ',' || n_regionkey || ']}' AS g FROM nation")
+def st_asgeojson(spark, d):
+    g = db(spark, d, ("nation",))
+    c = g.graph.collection("nation").withColumn("geometry", tables.point_geojson(F.col("n_nationkey"), F.col("n_regionkey")))
+    g.graph = g.graph.with_collection("nation", c)
+    return g.query("SELECT _key, ST_AsGeoJSON(geometry) AS g FROM nation")
+
+
+@add("filter_boolean", "SELECT cast(c_custkey AS VARCHAR) AS _key FROM customer WHERE c_acctbal > 0")
+def filter_boolean(spark, d):
+    g = db(spark, d, ("customer",))
+    g.graph = g.graph.with_collection("customer", g.graph.collection("customer").withColumn("rich", F.col("c_acctbal") > 0))
+    return g.query("SELECT _key FROM customer WHERE rich = true AND rich != false")
+
+
+@add("counters", "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS nodes, (SELECT count(*) FROM nation) AS edges, true AS has, false AS has_not, n_name AS name, 3.0::DOUBLE AS lat, 2.0::DOUBLE AS lon FROM nation WHERE n_nationkey = 3")
+def counters(spark, d):
+    g = db(spark, d, ("nation", "region"), ("in_region",))
+    g.execute("UPDATE nation SET place = ST_GeomFromGeoJSON('{\"type\":\"Point\",\"coordinates\":[2,3]}') WHERE _key = '3'")
+    lat, lon = g.centroid("nation/3", "place")
+    row = (g.node_count(), g.edge_count(), g.contains("nation/3"), g.contains("nation/x"), g.get("nation/3")["n_name"], lat, lon)
+    return spark.createDataFrame([row], "nodes long, edges long, has boolean, has_not boolean, name string, lat double, lon double")
+
+
+@add("load_nodes", "SELECT cast(n_nationkey AS VARCHAR) AS _key, n_name AS name, n_regionkey AS region FROM nation")
+def load_nodes(spark, d):
+    g = DB(spark)
+    g.df.load_nodes(spark.read.parquet(f"{d}/nation.parquet").toPandas(), "nation", "n_nationkey", {"n_name": "name", "n_regionkey": "region"})
+    return g.query("SELECT _key, name, region FROM nation").withColumn("region", F.col("region").cast("int"))
+
+
+@add("query_to_pandas", "SELECT cast(r_regionkey AS VARCHAR) AS _key, r_name FROM region")
+def query_to_pandas(spark, d):
+    return spark.createDataFrame(db(spark, d, ("region",)).df.query("SELECT _key, r_name FROM region"), "_key string, r_name string")
+
+
+@add("create_collection", "SELECT * FROM (VALUES ('_key', 'TEXT', true), ('name', 'TEXT', false), ('born', 'INTEGER', false), ('place', 'GEO', false)) t(field, type, primary_key)")
+def create_collection(spark, d):
+    g = DB(spark)
+    g.df.create_collection("people", {"name": "TEXT", "born": "INTEGER", "place": "GEO"}, hash_index=["name"], range_index=["born"], spatial_index=["place"])
+    return g.query("SHOW people")
+
+
+@add("insert_edges", "SELECT * FROM (VALUES ('nation/1', 'nation/2', 'likes', 2.5::DOUBLE, '1999'), ('nation/2', 'nation/3', 'likes', 1.0::DOUBLE, NULL)) t(src, dst, type, strength, since)")
+def insert_edges(spark, d):
+    g = db(spark, d, ("nation",))
+    g.execute("INSERT ('nation/1')-[:likes {strength: 2.5, since: 1999}]->('nation/2'), ('nation/2')-[:likes]->('nation/3')")
+    return g.graph.edges.select("src", "dst", "type", F.col("strength").cast("double").alias("strength"), F.get_json_object("meta", "$.since").alias("since"))
+
+
+@add("insert_geometry", "SELECT '9' AS _key, 'here' AS r_name")
+def insert_geometry(spark, d):
+    g = db(spark, d, ("region",))
+    g.execute("INSERT INTO region (_key, r_name, geometry) VALUES ('9', 'here', ST_GeomFromGeoJSON('{\"type\":\"Point\",\"coordinates\":[1,2]}'))")
+    return g.query("SELECT _key, r_name FROM region WHERE ST_DWithin(geometry, POINT(1 2), 1)")
+
+
+@add("create_drop_table", "SELECT 'region' AS name, count(*) AS count FROM region UNION ALL SELECT 'kept', 2")
+def create_drop_table(spark, d):
+    g = db(spark, d, ("region",))
+    g.execute("CREATE TABLE kept (name TEXT, n INTEGER)")
+    g.execute("CREATE TABLE gone (name TEXT)")
+    g.execute("INSERT INTO kept (_key, name, n) VALUES ('a', 'A', 1), ('b', 'B', 2)")
+    g.execute("INSERT INTO gone (_key, name) VALUES ('x', 'X')")
+    g.execute("DROP TABLE gone")
+    g.execute("DROP TABLE IF EXISTS never")
+    return g.query("SHOW TABLES").select("name", "count")
+
+
+@add("alter_forms", "SELECT cast(n_nationkey AS VARCHAR) AS _key, n_name AS label, CASE WHEN n_nationkey = 3 THEN 1.5 END::DOUBLE AS extra FROM nation")
+def alter_forms(spark, d):
+    g = db(spark, d, ("nation",))
+    for change in ("ADD COLUMN extra REAL", "RENAME COLUMN n_name TO label", "DROP COLUMN n_regionkey", "DROP COLUMN IF EXISTS never", "ALTER COLUMN label TYPE TEXT", "RENAME TO land"):
+        g.execute("ALTER TABLE nation " + change)
+    g.execute("UPDATE land SET extra = 1.5 WHERE _key = '3'")
+    return g.query("SELECT * FROM land").select("_key", "label", "extra")
+
+
+@add("ilike_index", "SELECT cast(doc_id AS VARCHAR) AS _key FROM documents WHERE contains(lower(text), 'license')")
+def ilike_index(spark, d):
+    """By trigrams: candidates from the postings, verified on the text."""
+    g = db(spark, d, ("documents",))
+    g.execute("CREATE INDEX ON documents USING gin (text)")
+    return g.ilike("documents", "text", "%LICENSE%").select("_key")
+
+
+@add("reindex_drop_index", "SELECT cast(p_partkey AS VARCHAR) AS _key FROM part WHERE contains(lower(p_name), 'a')")
+def reindex_drop_index(spark, d):
+    g = db(spark, d, ("part",))
+    g.execute("CREATE INDEX ON part USING gin (p_name)")
+    g.execute("REINDEX ON part USING gin (p_name)")
+    g.execute("DROP INDEX ON part USING gin (p_name)")
+    return g.ilike("part", "p_name", "%a%").select("_key")
+
+
+@add("ann_search")
+def ann_search(spark, d):
+    """The ten nearest by the inverted file; its recall is measured in the tests."""
+    g = db(spark, d, ("embeddings",))
+    g.execute("CREATE INDEX ON embeddings USING hnsw (embedding)")
+    return g.vector_search("embeddings", "embedding", query_vector(spark, d)[0], 10).select("_key")
+
+
+@add("put_get_vector", "SELECT cast(vec_id AS VARCHAR) AS _key, CASE WHEN vec_id = 5 THEN 3 ELSE len(embedding) END::BIGINT AS n FROM embeddings")
+def put_get_vector(spark, d):
+    g = db(spark, d, ("embeddings",))
+    g.put_vector("embeddings/5", "embedding", [0.5, 1.0, -2.0])
+    assert g.get_vector("embeddings/5", "embedding") == [0.5, 1.0, -2.0]
+    return g.query("SELECT _key, JSON_ARRAY_LENGTH(embedding) AS n FROM embeddings")
+
+
+@add("bm25_search", f"SELECT 'documents/' || doc_id AS _id, round(bm25, 6) AS score FROM {_bm25_sql('text', _B)} WHERE bm25 > 0 ORDER BY round(bm25, 9) DESC, 1 LIMIT 15")
+def bm25_search(spark, d):
+    return db(spark, d, ("documents",)).bm25_search("text", _B, 15, "documents").withColumn("score", F.round("score", 6))
+
+
+@add("bm25_after_changes", "SELECT cast(doc_id AS VARCHAR) AS _key, round(bm25, 6) AS score FROM " + _bm25_sql("text", _B, "(SELECT * FROM documents WHERE lang IS DISTINCT FROM 'de')"))
+def bm25_after_changes(spark, d):
+    g = db(spark, d, ("documents",))
+    g.execute("DELETE FROM documents WHERE lang = 'de'")
+    return g.query(f"SELECT _key, BM25(text, '{_B}') AS score FROM documents").withColumn("score", F.round("score", 6))
+
+
+@add("api_transaction", "SELECT cast(r_regionkey AS VARCHAR) AS _key, r_name FROM region WHERE r_regionkey <> 1 UNION ALL SELECT '7', 'NEW'")
+def api_transaction(spark, d):
+    g = db(spark, d, ("region",))
+    t = g.transaction()
+    t.put("region/7", {"r_name": "NEW"})
+    t.remove("region/1")
+    t.link("region/7", "region/0", "near", 2.0)
+    t.commit()
+    t.put("region/8", {"r_name": "never"})
+    t.rollback()
+    return g.query("SELECT _key, r_name FROM region")
+
+
+@add("low_level_changes", "SELECT 'region/2' AS src, 'region/4' AS dst, 3.0::DOUBLE AS strength, 'x' AS note")
+def low_level_changes(spark, d):
+    g = db(spark, d, ("region",))
+    g.put("region/2", '{"r_name": "changed"}')
+    g.link_meta("region/2", "region/4", "near", 3.0, {"note": "x"})
+    g.link("region/2", "region/0", "near")
+    g.unlink("region/2", "region/0", "near")
+    assert g.get("region/2")["r_name"] == "changed"
+    return g.edges_from("region/2").select("src", "dst", F.col("strength").cast("double").alias("strength"), F.get_json_object("meta", "$.note").alias("note"))
+
+
+@add("save_and_reopen", "SELECT cast(n_nationkey AS VARCHAR) AS _key, n_name, n_regionkey FROM nation WHERE n_nationkey <> 4 UNION ALL SELECT '77', 'NEW', 1")
+def save_and_reopen(spark, d):
+    """Two versions in the shared folder: a reader that was opened on the first refreshes to the second."""
+    g = db(spark, d, ("nation",))
+    g.path = f"{G.shared_folder(spark)}/db-{_uuid.uuid4().hex}"
+    g.compact()
+    reader = DB(spark, g.path)
+    g.execute("DELETE FROM nation WHERE _key = '4'")
+    g.execute("INSERT INTO nation (_key, n_nationkey, n_name, n_regionkey) VALUES ('77', 77, 'NEW', 1)")
+    g.compact()
+    assert reader.contains("nation/4") and reader.refresh()
+    return reader.query("SELECT _key, n_name, n_regionkey FROM nation")
+
+
+@add("explain_analyze", "SELECT true AS scans, true AS timed")
+def explain_analyze(spark, d):
+    t = db(spark, d, ("region",)).explain("SELECT _key FROM region WHERE r_regionkey > 1", analyze=True)
+    return spark.createDataFrame([("Scan parquet" in t, "rows: 3" in t and "time_ms" in t)], "scans boolean, timed boolean")
+
+
+@add("edge_listing", "SELECT 'all' AS what, count(*) AS n FROM nation UNION ALL SELECT 'between', count(*) FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'types', 1 UNION ALL SELECT 'types of one', 1")
+def edge_listing(spark, d):
+    g = db(spark, d, ("nation", "region"), ("in_region",))
+    to = spark.read.parquet(f"{d}/nation.parquet").filter("n_nationkey = 3").first()["n_regionkey"]
+    parts = {"all": g.edges_from_collection("nation"), "between": g.edges_between("nation/3", f"region/{to}"), "types": g.edge_types_from_collection("nation"), "types of one": g.edge_types_from("nation/3")}
+    out = [df.agg(F.lit(k).alias("what"), F.count("*").alias("n")) for k, df in parts.items()]
+    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+
+
+_TWO = ("licensed", "thing")
+_BUCKETS = "list_transform(list_filter(range(0, len(t)), lambda i: t[i + 1] = '{0}'), lambda i: i // 8)"
+
+
+@add("search_score_two_terms", f"""WITH w AS (SELECT doc_id, {_TOK.format('source')} AS a, {_TOK.format('text')} AS b FROM documents), x AS (SELECT *, list_concat(a, b) AS t FROM w),
+y AS (SELECT *, {_BUCKETS.format(_TWO[0])} AS p, {_BUCKETS.format(_TWO[1])} AS q FROM x WHERE list_contains(t, '{_TWO[0]}') AND list_contains(t, '{_TWO[1]}')),
+z AS (SELECT *, list_min(list_transform(p, lambda u: list_min(list_transform(q, lambda v: abs(u - v))))) AS gap, list_has_any(a, ['{_TWO[0]}', '{_TWO[1]}']) AS early, len(a) AS la, len(b) AS lb FROM y)
+SELECT cast(doc_id AS VARCHAR) AS _key, round(1e12 + 1e9 + 1e6 / (1 + gap) + CASE WHEN early THEN 1e3 ELSE 0 END + CASE WHEN la = 2 OR lb = 2 THEN 1.0 WHEN least(CASE WHEN la > 0 THEN la ELSE 1000000 END, CASE WHEN lb > 0 THEN lb ELSE 1000000 END) < 2 THEN 0 ELSE 2.0 / least(CASE WHEN la > 0 THEN la ELSE 1000000 END, CASE WHEN lb > 0 THEN lb ELSE 1000000 END) END, 3) AS score FROM z""")
+def search_score_two_terms(spark, d):
+    q = " ".join(_TWO)
+    return _search_db(spark, d).query(f"SELECT _key, SEARCH_SCORE('{q}') AS score FROM documents WHERE SEARCH('{q}')").withColumn("score", F.round("score", 3))
+
+
+@add("spatial_join", f"SELECT cast(c_custkey AS VARCHAR) AS customer, cast(s_suppkey AS VARCHAR) AS supplier FROM (SELECT c_custkey, -37600 - c_custkey % 600 AS y, 144500 + c_custkey % 1000 AS x FROM customer) JOIN (SELECT s_suppkey, -37600 - (s_suppkey * 5) % 600 AS sy, 144500 + (s_suppkey * 7) % 1000 AS sx FROM supplier) ON abs(x - sx) < 9.5 AND abs(y - sy) < 9.5")
+def spatial_join(spark, d):
+    """Customers within the squares around suppliers, joined on grid cells: squares of 19 thousandths, so that no customer is on a border."""
+    g = tables.graph(spark, d, ("customer", "supplier"))
+    k = F.col("s_suppkey")
+    ring = lambda dx, dy: F.concat(F.lit("["), F.round(tables.place_lon(k * 7) + dx, 4).cast("string"), F.lit(","), F.round(tables.place_lat(k * 5) + dy, 4).cast("string"), F.lit("]"))
+    h = 0.0095
+    square = F.concat(F.lit('{"type":"Polygon","coordinates":[['), F.concat_ws(",", ring(-h, -h), ring(h, -h), ring(h, h), ring(-h, h), ring(-h, -h)), F.lit("]]}"))
+    areas = g.collection("supplier").withColumn("geometry", square)
+    return geo.join_containing(g.collection("customer"), areas).select(F.col("p._key").alias("customer"), F.col("a._key").alias("supplier"))
+
+
+@add("streaming_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def streaming_windows(spark, d):
+    """The same windows as a stream over the file, state and watermark included."""
+    from .streaming.events import windowed_stream
+
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return windowed_stream(spark, schema, d, "events.parquet", f"windows_{_uuid.uuid4().hex}").withColumn("total", F.round("total", 4))
+
+
 def entry(spark, d: str = "/root/testdata/sf0.001") -> DataFrame:
     """Orders and their value per nation, over customer and order paths."""
     return QUERIES["path_group_sum"](spark, d)

@@ -68,6 +68,7 @@ def edges(spark: SparkSession, sf_dir: str, kinds) -> DataFrame:
         "in_region": lambda: as_edges(read("nation"), slug("nation", "n_nationkey"), slug("region", "n_regionkey"), "in_region"),
         "near": ring,
         "child_of": lambda: as_edges(read("part").filter("p_partkey > 0").withColumn("up", F.floor((F.col("p_partkey") - 1) / 2)), slug("part", "p_partkey"), slug("part", "up"), "child_of"),
+        "line": lambda: as_edges(read("part").withColumn("to", F.col("p_partkey") + 1), slug("part", "p_partkey"), slug("part", "to"), "line"),
         "next": lambda: as_edges(read("conversations"), F.concat(F.lit("conversations/"), F.concat_ws("-", "conv_id", "turn")), F.concat(F.lit("conversations/"), F.concat_ws("-", F.col("conv_id"), F.col("turn") + 1)), "next"),
     }
     return reduce(DataFrame.unionByName, [makers[k]() for k in kinds])

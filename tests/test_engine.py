@@ -233,3 +233,119 @@ def test_entry_survives_without_text_operators(tmp_path):
     shutil.rmtree(tmp_path / "latticeon" / "llm", ignore_errors=True)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.stdout.split()[1] == "False" and int(out.stdout.split()[0]) > 90, out.stderr
+
+
+# ── plans ──
+def plan_of(df, spark):
+    import io
+    from contextlib import redirect_stdout
+
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    from latticeon.model import Graph, as_collection
+
+    spark.createDataFrame([(i, f"n{i}", i * 1.5, i % 3) for i in range(50)] + [(99, None, None, None)], "id long, name string, bal double, k int").write.parquet(str(tmp_path / "t"))
+    db = DB(spark, graph=Graph(spark, {"t": as_collection(spark.read.parquet(str(tmp_path / "t")), "t", "id")}))
+    for where, pushed in (("name = 'n7'", "EqualTo(name,n7)"), ("bal > 3 AND bal <= 9", "GreaterThan(bal,3.0)"), ("k IN (1, 2)", "In(k, [1,2])"), ("bal BETWEEN 1 AND 2", "GreaterThanOrEqual(bal,1.0)"), ("name != 'n7'", "Not(EqualTo(name,n7))"), ("_key = '42'", "EqualTo(id,42)"), ("_id = 't/42'", "EqualTo(id,42)"), ("k = 1 OR k = 2 AND bal < 0", "Or(EqualTo(k,1)")):
+        df = db.query(f"SELECT _key FROM t WHERE {where}")
+        assert pushed in plan_of(df, spark), where
+    keys = lambda q: sorted(r[0] for r in db.query(f"SELECT _key FROM t WHERE {q}").collect())
+    assert keys("_key = '42'") == ["42"] and keys("_key = '042'") == [] and keys("_key != '42'") == sorted(str(i) for i in [*range(42), *range(43, 50), 99])
+    assert len(keys("name != 'n7'")) == 50 and len(keys("NOT (k = 1)")) == 34 and keys("_key IN ('1', 'x', '99')") == ["1", "99"]
+    assert keys("_key NOT IN ('1')") == sorted(str(i) for i in [0, *range(2, 50), 99])
+    # After a change the key no longer follows the column.
+    db.execute("UPDATE t SET id = 42 WHERE _key = '7'")
+    assert keys("_key = '42'") == ["42"] and keys("_key = '7'") == ["7"]
+    assert db.get("t/7")["id"] == 42 and db.contains("t/42") and not db.contains("t/777")
+
+
+def test_equalities_are_join_keys(spark):
+    db = DB(spark)
+    db.execute("INSERT INTO a (_key, k) VALUES ('1', 1), ('2', 2)")
+    db.execute("INSERT INTO b (_key, k) VALUES ('x', 2), ('y', 3)")
+    df = db.query("SELECT x._key AS x, y._key AS y FROM a AS x, b AS y WHERE x.k = y.k")
+    assert "Cartesian" not in plan_of(df, spark) and "NestedLoop" not in plan_of(df, spark)
+    assert [tuple(r) for r in df.collect()] == [("2", "x")]
+
+
+def test_aggregates_per_path(spark):
+    db = DB(spark)
+    db.execute("INSERT INTO s (_key, n) VALUES ('b', 1)")
+    for i in range(1, 5):
+        db.execute(f"INSERT INTO w (_key, score) VALUES ('a{i}', {i * 0.25})")
+        db.link("s/b", f"w/a{i}", "did")
+    q = "SELECT COUNT(*) AS cnt, AVG(a.score) AS mean FROM MATCH ('s/b')-[:did]->(a)"
+    assert sorted(tuple(r) for r in db.query(q).collect()) == [(1, i * 0.25) for i in range(1, 5)]
+    assert [tuple(r) for r in db.query(q, collapse=True).collect()] == [(4, 0.625)]
+    assert db.query("SELECT COUNT(*) AS n FROM MATCH ('s/b')-[:did]->(a)").first()["n"] == 4
+
+
+# ── indexes ──
+def test_vector_index(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    middle = r.normal(size=(30, 24))
+    v = (middle[r.integers(0, 30, 3000)] + 0.7 * r.normal(size=(3000, 24))).astype(float)
+    rows = spark.createDataFrame([("c", str(i), f"c/{i}", x.tolist()) for i, x in enumerate(v)] + [("c", "n", "c/n", None), ("c", "s", "c/s", [1.0])], "_collection string, _key string, _id string, vec array<float>")
+    db = DB(spark)
+    db.graph = db.graph.with_collection("c", rows.cache())
+    db.execute("CREATE INDEX ON c USING hnsw (vec)")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 3000, 300):
+        want = {f"c/{i}" for i in np.argsort(-(unit @ unit[q]))[:10]}
+        hits += len(want & {x["_id"] for x in db.vector_search("c", "vec", v[q].tolist(), 10).collect()})
+    assert hits >= 90, "recall of at least 0.9"
+    index = db._built["c", "vec"][1]
+    assert index.probes < len(index.centroids) / 2 and len(index.cells_of(v[0])) == index.probes
+    before = index
+    db.execute("DELETE FROM c WHERE _key = '0'")
+    assert "c/0" not in {x["_id"] for x in db.vector_search("c", "vec", v[0].tolist(), 10).collect()} and db._built["c", "vec"][1] is not before
+    empty = DB(spark)
+    empty.graph = empty.graph.with_collection("c", rows.limit(0))
+    empty.execute("CREATE INDEX ON c USING hnsw (vec)")
+    assert empty.vector_search("c", "vec", [1.0], 3).count() == 0
+
+
+def test_trigram_index(spark):
+    db = DB(spark)
+    words = ["Straße", "strasse", "STRASSE", "str", "abc def", "abcxdef", "", None]
+    db.graph = db.graph.with_collection("c", spark.createDataFrame([("c", str(i), f"c/{i}", w) for i, w in enumerate(words)], "_collection string, _key string, _id string, w string"))
+    for p in ("%trass%", "ABC%DEF", "st", "%", "%abc%xyz%"):
+        plain = sorted(r["_key"] for r in db.ilike("c", "w", p).select("_key").collect())
+        db.execute("CREATE INDEX ON c USING gin (w)")
+        assert sorted(r["_key"] for r in db.ilike("c", "w", p).select("_key").collect()) == plain
+        assert set(plain) <= {r["_id"][2:] for r in db.text_index_candidates("c", "w", p).collect()}
+        db.execute("DROP INDEX ON c USING gin (w)")
+
+
+def test_least_gap(spark):
+    from pyspark.sql import functions as F
+
+    from latticeon.functions.text import least_gap
+
+    rows = [([1, 9, 20], [14, 30]), ([5], [5]), ([], [1]), ([3, 3], [100, 7])]
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<long>, b array<long>").select(least_gap(F.col("a"), F.col("b"))).collect()]
+    assert got == [5, 0, None, 4]
+
+
+def test_join_containing(spark):
+    from latticeon.functions import geo
+
+    point = lambda x, y: f'{{"type":"Point","coordinates":[{x},{y}]}}'
+    box = lambda x0, y0, x1, y1: f'{{"type":"Polygon","coordinates":[[[{x0},{y0}],[{x1},{y0}],[{x1},{y1}],[{x0},{y1}],[{x0},{y0}]]]}}'
+    import random
+
+    r = random.Random(2)
+    pts = [(i, r.uniform(-5, 5), r.uniform(-5, 5)) for i in range(200)]
+    boxes = [(j, x, y, x + w, y + w) for j in range(20) for x, y, w in [(r.uniform(-5, 5), r.uniform(-5, 5), 10 ** r.uniform(-2, 0.9))]]
+    p = spark.createDataFrame([(i, point(x, y)) for i, x, y in pts] + [(-1, None)], "i int, geometry string")
+    a = spark.createDataFrame([(j, box(*b)) for j, *b in boxes] + [(-1, point(0, 0))], "j int, geometry string")
+    got = sorted((x[0], x[1]) for x in geo.join_containing(p, a).select("p.i", "a.j").collect())
+    assert got == sorted((i, j) for i, x, y in pts for j, x0, y0, x1, y1 in boxes if x0 < x < x1 and y0 < y < y1) and got
