@@ -39,7 +39,7 @@ BLANK = "▁"
 
 
 class PieceModel:
-    def __init__(self, path: str, n: int = N_BEST, merge_ranks: bool = True, cache: int = 300_000):
+    def __init__(self, path: str, n: int = N_BEST, merge_ranks: bool = True, cache: int = 500_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -194,14 +194,13 @@ class PieceModel:
         found = [(max(0.0, total - x), array("I", i).tobytes()) for x, i in self.search(s, self.n)]
         return [(0.0, ids), *[x for x in found if x[1] != ids]][: self.n]
 
-    def encode_all(self, text: str) -> tuple[list[float], list[bytes]]:
-        """Scores and ids of the n best segmentations of a text, best first."""
+    def _choose(self, text: str):
+        """Best score, ids of the best by segment, and of each hypothesis its cost and the (segment, ids) that it takes instead."""
         pieces = self.cut.findall(self.normalise(text))
         if not pieces:
-            return [0.0], [b""]
+            return 0.0, (), [(0.0, ())]
         best, cost, ids = zip(*map(self.segments.__getitem__, pieces))
-        total = math.fsum(best)
-        chosen: list[tuple[float, tuple]] = [(0.0, ())]  # cost, (segment, its ids) of those that take part
+        chosen: list[tuple[float, tuple]] = [(0.0, ())]
         if self.n > 1:
             c = np.array(cost)
             m = min(self.n - 1, len(c))
@@ -209,13 +208,33 @@ class PieceModel:
                 if cost[k] < math.inf:
                     every = self._alternatives(pieces[k], best[k], ids[k])
                     chosen = heapq.nsmallest(self.n, [(x + y, (*took, (k, i))) for x, took in chosen for y, i in every], key=lambda z: z[0])
+        return math.fsum(best), ids, chosen
+
+    @staticmethod
+    def _joined(ids, chosen) -> list[bytes]:
         out = [b"".join(ids)]
         for _, took in chosen[1:]:
             own = list(ids)
             for k, i in took:
                 own[k] = i
             out.append(b"".join(own))
-        return [total - x for x, _ in chosen], out
+        return out
+
+    def encode_all(self, text: str) -> tuple[list[float], list[bytes]]:
+        """Scores and ids of the n best segmentations of a text, best first."""
+        total, ids, chosen = self._choose(text)
+        return [total - x for x, _ in chosen], self._joined(ids, chosen)
+
+    def digest(self, text: str) -> tuple[list[float], list[int], list[int], bool]:
+        """Scores, counts and crc32 of the n best, and whether all decode to the text.
+
+        The best is decoded whole, the others where they differ: they spell what it spells if those segments do.
+        """
+        total, ids, chosen = self._choose(text)
+        all_ids = self._joined(ids, chosen)
+        spell = lambda raw: b"".join([self.texts[i] for i in memoryview(raw).cast("I")])
+        same = all([spell(i) == spell(ids[k]) for _, took in chosen[1:] for k, i in took if i is not ids[k]])
+        return [total - x for x, _ in chosen], [len(i) // 4 for i in all_ids], [zlib.crc32(i) for i in all_ids], same and self.decode(memoryview(all_ids[0]).cast("I")) == text
 
     def encode(self, text: str) -> tuple[list[float], bytes]:
         scores, ids = self.encode_all(text)
@@ -289,9 +308,7 @@ def nbest_digest_column(path: str, n: int = N_BEST, text: str = "text") -> Colum
         m = model(path, n)
         cols: tuple = ([], [], [], [])
         for x in t:
-            s = x.as_py()
-            scores, ids = m.encode_all(s)
-            for c, v in zip(cols, (scores, [len(i) // 4 for i in ids], [zlib.crc32(i) for i in ids], all([m.decode(memoryview(i).cast("I")) == s for i in ids]))):
+            for c, v in zip(cols, m.digest(x.as_py())):
                 c.append(v)
         kinds = (pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["scores", "n_pieces", "ids_crc32", "restored"])
