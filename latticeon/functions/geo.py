@@ -186,20 +186,36 @@ def cell(g: Column, degrees: float) -> tuple[Column, Column]:
 def join_containing(points: DataFrame, areas: DataFrame, point: str = "geometry", area: str = "geometry", degrees: float = 0.01) -> DataFrame:
     """Pairs of a row of points (as struct p) and a row of areas (struct a) that contains its centroid.
 
+    Geometries of one text are read and tested once; rows join the pairs of texts afterwards, so that what grows with the
+    square where rows share their places is only the writing of the result.
+    """
+    rows = lambda df, g, name: df.select(F.struct("*").alias(name), F.col(g).alias(f"{name}_text"))
+    # Parsed is the result of an aggregate, not its key: else the optimizer tests (and parses) every row before it is one per text.
+    texts = lambda df, g, name, parsed: df.select(F.col(g).alias(name)).distinct().groupBy(name).agg(F.min(name).alias(parsed))
+    pairs = _containing_texts(texts(points, point, "p_text", "point"), texts(areas, area, "a_text", "area"), degrees)
+    # Merge joins: nothing that grows with the tables passes through the driver. The side that is kept per place, areas, comes second.
+    at = pairs.join(rows(areas, area, "a").hint("merge"), "a_text").select("p_text", "a")
+    return rows(points, point, "p").join(at.hint("merge"), "p_text").select("p", "a")
+
+
+def _containing_texts(points: DataFrame, areas: DataFrame, degrees: float) -> DataFrame:
+    """The pairs (p_text, a_text) of points (p_text, point) and areas (a_text, area), one row per GeoJSON text.
+
     A join on grid cells, not a product. Each area goes to the level (of cells of degrees * 2^level) at which
     it spans at most two cells a side, so it has at most four; a point is looked up at each level. Pairs of a cell are
     then tested exactly. Levels are at most 20 or so: they double up to the circumference.
     """
-    corner = lambda axis, f: f(F.transform(vertices(F.col(area)), lambda v: v[axis]))
-    box = areas.filter(is_area(F.col(area))).select(F.struct("*").alias("a"), *[corner(i, f).alias(n) for n, i, f in (("x0", 0, F.array_min), ("x1", 0, F.array_max), ("y0", 1, F.array_min), ("y1", 1, F.array_max))])
+    g = F.col("area")
+    corner = lambda axis, f: f(F.transform(vertices(g), lambda v: v[axis]))
+    box = areas.filter(is_area(g)).select("a_text", parts(g).alias("rings"), *[corner(i, f).alias(n) for n, i, f in (("x0", 0, F.array_min), ("x1", 0, F.array_max), ("y0", 1, F.array_min), ("y1", 1, F.array_max))])
     extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(degrees))
     box = box.filter("x0 IS NOT NULL").withColumn("level", F.ceil(F.log2(extent / degrees)).cast("int"))
     width = F.lit(degrees) * F.pow(F.lit(2.0), F.col("level"))
     index = lambda c: F.floor(c / width).cast("long")
     box = box.withColumn("cx", F.explode(F.sequence(index(F.col("x0")), index(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(index(F.col("y0")), index(F.col("y1")))))
     top = 1 + int(360 / degrees).bit_length()
-    c = centroid(F.col(point))
-    at = points.select(F.struct("*").alias("p"), c["lon"].alias("x"), c["lat"].alias("y")).filter("x IS NOT NULL")
+    c = centroid(F.col("point"))
+    at = points.select("p_text", c["lon"].alias("x"), c["lat"].alias("y")).filter("x IS NOT NULL")
     at = at.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("cx", index(F.col("x"))).withColumn("cy", index(F.col("y")))
-    near = at.join(box.select("a", "level", "cx", "cy", "x0", "x1", "y0", "y1"), ["level", "cx", "cy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
-    return near.filter(F.exists(parts(F.col("a")[area]), lambda r: _in_ring(F.col("x"), F.col("y"), r))).select("p", "a")
+    near = at.join(box.hint("merge"), ["level", "cx", "cy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+    return near.filter(F.exists("rings", lambda r: _in_ring(F.col("x"), F.col("y"), r))).select("p_text", "a_text")

@@ -349,3 +349,21 @@ def test_join_containing(spark):
     a = spark.createDataFrame([(j, box(*b)) for j, *b in boxes] + [(-1, point(0, 0))], "j int, geometry string")
     got = sorted((x[0], x[1]) for x in geo.join_containing(p, a).select("p.i", "a.j").collect())
     assert got == sorted((i, j) for i, x, y in pts for j, x0, y0, x1, y1 in boxes if x0 < x < x1 and y0 < y < y1) and got
+
+
+def test_join_containing_tests_a_text_once(spark):
+    import re
+
+    point = lambda x: f'{{"type":"Point","coordinates":[{x},0.5]}}'
+    square = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1],[0,0]]]}'
+    p = spark.range(300).selectExpr("id AS i", f"CASE WHEN id % 3 = 0 THEN '{point(0.5)}' WHEN id % 3 = 1 THEN '{point(7)}' END AS geometry")
+    a = spark.range(40).selectExpr("id AS j", f"IF(id < 30, '{square}', '{point(0.5)}') AS geometry")
+    df = geo.join_containing(p, a).select("p.i", "a.j")
+    assert sorted(map(tuple, df.collect())) == [(i, j) for i in range(0, 300, 3) for j in range(30)]
+    # No row is parsed before the shuffle that leaves one per text, and no table is sent through the driver.
+    plan = plan_of(df, spark)
+    assert "Broadcast" not in plan
+    raw = False
+    for kind, block in re.findall(r"\n\(\d+\) (\w+)(.*?)(?=\n\(\d+\) |\Z)", plan, re.S):
+        raw = kind in ("Scan", "Range") or raw and kind != "Exchange"
+        assert not (raw and "json" in block), (kind, block[:300])
