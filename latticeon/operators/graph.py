@@ -7,15 +7,17 @@ _collection. Traversal reads the edge columns it needs; node attributes are join
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..model import Graph
 
 _DEEP = 3
+#: Levels of a search that are kept apart before they are merged with the older ones.
+_RECENT = 8
 
 
 def shared_folder(spark) -> str:
@@ -134,45 +136,54 @@ def expand(graph: Graph, rows: DataFrame, at: Column, edge: str, kind: str | Non
     return got.withColumnRenamed("__at", "__end")
 
 
+@contextmanager
+def _fixed_partitions(spark):
+    """Without adaptive execution: a checkpoint then keeps how it is partitioned and sorted, and joins on that key move none of it."""
+    key = "spark.sql.adaptive.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set(key, was)
+
+
 def shortest_path(graph: Graph, start: str, end: str):
     """Node ids and edges of a shortest directed path, or None. Ties go to the smaller predecessor.
 
-    Breadth first, until the end is met or no new node is: a join per level, up to four levels a job. Only one row per job reaches the driver, to see whether the end is met; then
-    the path is walked back, a point lookup per node.
+    Edges and ids are partitioned and sorted by key once. Then it is breadth first, until the end is met or no new node is: a merge
+    join per level, which shuffles new ends only and broadcasts nothing. One row per level reaches the driver, to see whether the end is met; then
+    the path is walked back, a lookup in a level per node.
     """
     spark = graph.spark
-    ids = graph.ids()
-    if ids.filter(F.col("_id").isin(start, end)).select("_id").distinct().count() < len({start, end}):
+    if graph.ids().filter(F.col("_id").isin(start, end)).select("_id").distinct().count() < len({start, end}):
         return None
     if start == end:
         return [start], []
-    e = graph.edges.select("src", "dst")
-    schema = T.StructType([T.StructField("_id", T.StringType()), T.StructField("parent", T.StringType()), T.StructField("depth", T.IntegerType())])
-    seen = frontier = spark.createDataFrame([(start, None, 0)], schema)
-    depth, batch = 0, 1
-    while True:
-        # A batch of levels is one job: each goes on from the ends of the one before, and a node keeps its least depth.
-        level, levels = frontier.select("_id"), []
-        for depth in range(depth + 1, depth + batch + 1):
-            step = e.join(level.select(F.col("_id").alias("src")), "src").groupBy("dst").agg(F.min("src").alias("parent"))
-            step = step.select(F.col("dst").alias("_id"), "parent", F.lit(depth).alias("depth")).join(ids, "_id", "left_semi")
-            levels.append(step)
-            level = step
-        new = reduce(DataFrame.union, levels)
-        if batch > 1:
-            new = new.groupBy("_id").agg(F.min(F.struct("depth", "parent")).alias("x")).select("_id", "x.parent", "x.depth")
-        new = cut_lineage(new.join(seen, "_id", "left_anti"))
-        met = new.agg(F.max(F.col("_id") == end).alias("hit"), F.count(F.when(F.col("depth") == depth, 1)).alias("last")).first()
-        seen = seen.union(new)
-        if met["hit"]:
-            break
-        if not met["last"]:
-            return None
-        frontier = new.filter(F.col("depth") == depth)
-        seen, batch = cut_lineage(seen) if batch > 1 else seen, min(4, 2 * batch)
-    path = [end]
-    while path[-1] != start:
-        path.append(seen.filter(F.col("_id") == path[-1]).select("parent").first()[0])
+    with _fixed_partitions(spark) as n:
+        keyed = lambda df, key: cut_lineage(df.repartition(n, key).sortWithinPartitions(key))
+        e, ids = keyed(graph.edges.select("src", "dst"), "src"), keyed(graph.ids().select("_id"), "_id")
+        frontier = cut_lineage(spark.range(1).select(F.lit(start).alias("_id")))
+        levels, old, recent = [], [], [frontier]
+        while True:
+            ends = e.join(frontier.select(F.col("_id").alias("src")).hint("merge"), "src").groupBy("dst").agg(F.min("src").alias("parent"))
+            # Cut here: else the optimizer moves the semi- and anti-joins below the aggregate, onto all edges. Ends that are not new or no nodes may count as seen.
+            ends = cut_lineage(ends.select(F.col("dst").alias("_id"), "parent"))
+            frontier = ends.join(ids.hint("merge"), "_id", "left_semi")
+            for seen in [reduce(DataFrame.union, recent), *old]:
+                frontier = frontier.join(seen.hint("merge"), "_id", "left_anti")
+            met = frontier.agg(F.max(F.col("_id") == end)).first()[0]
+            if met is None:
+                return None
+            levels.append(ends)
+            if met:
+                break
+            if len(recent) == _RECENT:
+                old, recent = [keyed(reduce(DataFrame.union, [*old, *recent]), "_id")], []
+            recent.append(ends.select("_id"))
+        path = [end]
+        for level in reversed(levels):
+            path.append(level.filter(F.col("_id") == path[-1]).select("parent").collect()[0][0])  # one row: a level has an end once
     path.reverse()
     pairs = list(zip(path, path[1:]))
     wanted = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, src string, dst string")

@@ -367,3 +367,22 @@ def test_join_containing_tests_a_text_once(spark):
     for kind, block in re.findall(r"\n\(\d+\) (\w+)(.*?)(?=\n\(\d+\) |\Z)", plan, re.S):
         raw = kind in ("Scan", "Range") or raw and kind != "Exchange"
         assert not (raw and "json" in block), (kind, block[:300])
+
+
+def test_shortest_path_broadcasts_nothing(spark, monkeypatch):
+    from latticeon.model import Graph
+    from latticeon.operators import graph as G
+
+    far = 11  # levels are merged once
+    pairs = [(str(i), str(i + 1)) for i in range(far)] + [("1", "2b"), ("2b", "3"), ("5", "0"), ("3", "gone"), ("gone", "11")]
+    rows = lambda xs: "VALUES " + ", ".join(f"({', '.join(repr(y) for y in x)})" for x in xs)
+    nodes = spark.sql(f"SELECT 'p' AS _collection, k AS _key, 'p/' || k AS _id FROM {rows([(str(i),) for i in range(far + 1)] + [('2b',), ('alone',)])} t(k)")
+    graph = Graph(spark, {"p": nodes}).with_edges(spark.sql(f"SELECT 'p/' || s AS src, 'p/' || t AS dst, 'e' AS type, CAST(1 AS FLOAT) AS strength, CAST(NULL AS STRING) AS meta FROM {rows(pairs)} x(s, t)"))
+    plans, cut = [], G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: plans.append(plan_of(df, spark)) or cut(df))
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    path, edges = G.shortest_path(graph, "p/0", f"p/{far}")
+    assert path == [f"p/{i}" for i in range(far + 1)] and [x["to"] for x in edges] == path[1:]
+    assert G.shortest_path(graph, "p/9", "p/alone") is None
+    assert plans and not any("Broadcast" in x for x in plans)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == was
